@@ -197,13 +197,17 @@ def _accepted(counts: list, weights: dict[str, float], threshold: float) -> list
     return [pattern for pattern, _ in counts if 1 / (1 + math.exp(-sum(weights[k] for k in _inputs(*pattern)))) >= threshold]
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_personal_data(df: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(df: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more: a row for each row.
 
     Null and empty texts have no spans. Base spans are those of ``BASE`` that pass their check;
@@ -222,7 +226,7 @@ def find_personal_data(df: DataFrame, threshold: float = 0.5, id_col: str = "doc
     split = split.withColumn("more", clear)
     return split.select(
         "doc_id",
-        *(F.size(F.filter("base", lambda s, k=i: s["kind"] == k)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(BASE)),
+        *(_count(i).cast("long").alias(f"n_{kind}") for i, kind in enumerate(BASE)),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "more")).alias("spans"),
         F.size("more").cast("long").alias("n_more"),
