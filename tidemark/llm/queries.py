@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import media_shards, pii, quality, sharding, token_orc
+from tidemark.llm import media_shards, passages, pii, quality, sharding, token_orc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +34,17 @@ def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.encode_and_read_back(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_documents(_table(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op4_quality, op6_media, op7_orc_tokens, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op4_quality, op6_media, op7_orc_tokens, op8_passages, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
