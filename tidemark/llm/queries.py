@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import media_shards, passages, pii, quality, sharding, token_orc
+from tidemark.llm import media_shards, neardup, passages, pii, quality, sharding, token_orc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.train(documents, labels)
@@ -44,7 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op4_quality, op6_media, op7_orc_tokens, op8_passages, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op3_neardup, op4_quality, op6_media, op7_orc_tokens, op8_passages, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
