@@ -63,3 +63,9 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def task_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bind(value: Column, then) -> Column:
+    """``then`` of ``value``, worked out once: a lambda's variable isn't replaced by its
+    expression, as the optimizer does with a column that is used in one place."""
+    return F.element_at(F.transform(F.array(value), then), 1)

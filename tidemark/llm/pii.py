@@ -89,21 +89,22 @@ def _strict(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(found: Column, pieces: Column) -> Column:
+def _placed(found_name: str, pieces_name: str) -> Column:
     """Matches with their starts: the text was split at the matches, so the lengths of pieces and
     matches add up to them, in code points."""
 
-    def step(a: Column, i: Column) -> Column:
-        start = a["at"] + F.length(F.element_at(pieces, i))
-        m = F.element_at(found, i)
+    def step(a: Column, z: Column) -> Column:
+        start = a["at"] + F.length(z[pieces_name])
+        m = z[found_name]
         return F.struct((start + F.length(m)).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), m.alias("m")))).alias("out"))
 
+    both = F.slice(F.arrays_zip(found_name, pieces_name), 1, F.size(found_name))
     first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<struct<start:int,m:string>>)").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(found)), first, step, lambda a: a["out"])
+    return F.aggregate(both, first, step, lambda a: a["out"])
 
 
 def _spans(kind: str) -> Column:
-    found, pieces, text = F.col(f"_found_{kind}"), F.col(f"_pieces_{kind}"), F.col("_text")
+    found, text = F.col(f"_found_{kind}"), F.col("_text")
     vote = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0))
 
     def span(x: Column) -> Column:
@@ -121,7 +122,7 @@ def _spans(kind: str) -> Column:
             F.least((F.length(m) / 6).cast("int"), F.lit(5)).alias("size"),
         ).cast(SPAN)
 
-    return F.when(F.size(found) > 0, F.transform(_placed(found, pieces), span)).otherwise(F.expr(f"cast(array() AS array<{SPAN}>)"))
+    return F.when(F.size(found) > 0, F.transform(_placed(f"_found_{kind}", f"_pieces_{kind}"), span)).otherwise(F.expr(f"cast(array() AS array<{SPAN}>)"))
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
