@@ -1,0 +1,37 @@
+"""Walk-forward splits by year, with a one-session embargo at the end of training blocks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Split:
+    """Years of the blocks, both ends included."""
+
+    test: int
+    select: tuple[int, int]
+    refit: tuple[int, int]
+
+    @property
+    def validate(self) -> int:
+        return self.test - 1
+
+
+def walk_forward_splits(test_years: Iterable[int], train_years: int = 4) -> list[Split]:
+    return [Split(y, (y - train_years, y - 2), (y - train_years, y - 1)) for y in test_years]
+
+
+def select_years(panel: DataFrame, first: int, last: int, calendar: DataFrame | None = None) -> DataFrame:
+    """Rows of the years; given a calendar, without those of its last session in them, whose
+    label ends in the next block."""
+    inside = lambda c: F.year(c).between(first, last)
+    rows = panel.where(inside("signal_date"))
+    if calendar is None:
+        return rows
+    end = calendar.where(inside("date")).agg(F.max("date")).first()[0]
+    return rows if end is None else rows.where(F.col("signal_date") != F.lit(end))
