@@ -31,7 +31,7 @@ def _headers(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     first = heads.where("at = 0").groupBy("path").agg(F.min_by("value", "i").alias("header")).collect()  # a row a file
     out = defaultdict(list)
     for r in first:
-        out[r.header].append(r.path)
+        out[r.header].append(unquote(r.path))
     return out
 
 
@@ -42,8 +42,9 @@ def load_prices(spark: SparkSession, folder: str) -> DataFrame:
     for paths in _headers(spark, folder).values():
         raw = spark.read.csv(paths, header=True, inferSchema=False)
         number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
-        ticker = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-        part = raw.select(F.url_decode(ticker).alias("ticker") if any("%" in unquote(p) for p in paths) else ticker.alias("ticker"), F.try_to_date("date", "yyyy-MM-dd").alias("date"), number("close").alias("close"), number("adj close").alias("adj_close"), number("volume").alias("volume"))
+        name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+        ticker = F.regexp_extract(name, r"^(.*)\.csv$", 1)
+        part = raw.select(ticker.alias("ticker"), F.try_to_date("date", "yyyy-MM-dd").alias("date"), number("close").alias("close"), number("adj close").alias("adj_close"), number("volume").alias("volume"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], PRICES)
