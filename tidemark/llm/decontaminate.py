@@ -80,7 +80,8 @@ def _seeded(docs: DataFrame, items: DataFrame, inline: int) -> DataFrame:
         return found.withColumn("h", _shingle(F.col("w"), F.col("place")))
     # too many for a plan: join the shingles, then fetch the words of the texts that have some
     places = docs.select("id", "copy", F.posexplode_outer(_shingles(F.col("w"))).alias("place", "h")).join(known, "h")
-    return places.join(docs, (places["id"].eqNullSafe(docs["id"])) & (places["copy"] == docs["copy"])).select(docs["id"], docs["copy"], "w", "place", "h")
+    whole = docs.select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), "w")
+    return places.join(whole, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("id", "copy", "w", "place", "h")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", inline: int = INLINE) -> DataFrame:

@@ -68,6 +68,9 @@ def place(key: Column, node: Node) -> Column:
     return out
 
 
+ADDED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
 def shard_documents(df: DataFrame, tree: Node | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with ``size`` (UTF-8 bytes of the text plus 1; null: none), ``text_crc32``, ``law``
     ('key'), ``shard``, ``slot`` (0, 1, ... within a shard, by hash bucket, then id, CRC and size)
@@ -98,7 +101,7 @@ def shard_documents(df: DataFrame, tree: Node | None = None, id_col: str = "doc_
     offsets = keyed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_rows")).select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("shard", "_bucket").orderBy(id_col, "text_crc32", "size")
     numbered = keyed.withColumn("_n", F.row_number().over(within))
-    return numbered.join(F.broadcast(offsets), ["shard", "_bucket"]).withColumn("slot", (F.col("_offset") + F.col("_n") - 1).cast("long")).drop("_bucket", "_n", "_offset")
+    return numbered.join(F.broadcast(offsets), ["shard", "_bucket"]).withColumn("slot", (F.col("_offset") + F.col("_n") - 1).cast("long")).select(*(c for c in df.columns if c not in ADDED), *ADDED)
 
 
 def _leaves(node: Node) -> list[int]:
