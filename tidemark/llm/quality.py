@@ -11,6 +11,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,16 @@ def features_of(word: bytes, buckets: int, ngrams: tuple[int, int]) -> list[int]
     return [zlib.crc32(marked) % buckets] + [zlib.crc32(marked[i : i + n]) % buckets for n in range(ngrams[0], ngrams[1] + 1) for i in range(len(marked) - n + 1)]
 
 
+#: The word bigram of a word and itself, whichever it is: it follows each word that repeats the
+#: one before.
+AGAIN = b"\0again\0"
+
+
+def words_of(text: bytes) -> list[bytes]:
+    words = text.split()
+    return words + [AGAIN] * sum(map(eq, words, islice(words, 1, None)))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows never learned from: CRC-32 of the id as text is a multiple of 5. A row without an id
     has no label and counts as learned from (false)."""
@@ -75,7 +87,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", opts:
     vocabulary: dict[bytes, int] = {}
     docs = []
     for text, _ in examples:
-        words, counts = np.unique(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.encode().split()], np.int64), return_counts=True)
+        words, counts = np.unique(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text.encode())], np.int64), return_counts=True)
         docs.append((words, counts))
     features = [np.array(features_of(w, opts.buckets, opts.ngrams)) for w in vocabulary]
     sizes = np.array([len(f) for f in features] or [0])
@@ -134,7 +146,7 @@ class _Sums(dict):
 
     def score(self, text: bytes) -> float:
         total, n = 0.0, 0.0
-        words = text.split()
+        words = words_of(text)
         for k in range(0, len(words), 10_000):
             part = words[k : k + 10_000]
             if len(self) + len(part) > CACHE_WORDS:
