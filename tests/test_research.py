@@ -45,7 +45,19 @@ def world(tmp_path_factory):
     return root, feed
 
 
-def test_steps(spark, world):
+@pytest.fixture
+def quick(spark):
+    """Many small plans: less time goes into running them than into compiling them."""
+    conf = {"spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_steps(spark, world, quick):
     root, feed = world
 
     def fetch(p):

@@ -65,7 +65,7 @@ def fit_predict(featurize: Featurize, train: DataFrame, others: list[DataFrame],
     got = first.agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).first()
     if not got.n or got.a == got.b:
         raise ValueError("training rows of both labels are needed")
-    head = LogisticRegression(maxIter=1000, regParam=1 / (params["C"] * got.n), elasticNetParam=0.0, standardization=False, tol=1e-8)
+    head = LogisticRegression(maxIter=1000, regParam=1 / (params["C"] * got.n), elasticNetParam=0.0, standardization=False)
     model = head.fit(first)
     first.unpersist()
     return [model.transform(f).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction") for f in rest]
