@@ -45,7 +45,9 @@ def features(rows: DataFrame, terms: DataFrame, text: str = "headline", id_col:
     stored as, written, and read as vectors."""
     size = terms.count()
     numbered = terms.orderBy("term").coalesce(1).withColumn("_at", F.monotonically_increasing_id().cast("int"))
-    entry = F.struct(F.col("_at"), F.col("weight"))
+    # rounded, as a column that is constant but for the last bits would stall the optimiser, which
+    # scales columns by their deviation
+    entry = F.struct(F.col("_at"), F.round("weight", 12).alias("weight"))
     packed = weights(rows, numbered, text, id_col, span).groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     part = lambda k, t: F.coalesce(F.transform("_e", lambda e: e[k]), F.expr(f"cast(array() AS array<{t}>)"))
     joined = rows.join(packed, id_col, "left")

@@ -111,7 +111,7 @@ class Research:
         return at(self.protocol.holdout_start) - timedelta(days=1), at(self.protocol.holdout_end) + timedelta(days=1)
 
     def _collect(self, a: datetime, b: datetime, folder: Path, pause: float = 0.0) -> int:
-        key = os.environ.get("FEED_KEY") or os.environ.get("ALPHA_VANTAGE_KEY")
+        key = os.environ.get("FEED_KEY")
         endpoint = os.environ.get("FEED_URL")
         if self.fetch is None and not (key and endpoint):
             raise Refused("FEED_URL and FEED_KEY name the feed and its key")
