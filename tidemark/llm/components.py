@@ -24,6 +24,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+#: Up to so many edges a round is one task, without shuffles; a round of more is distributed.
+ONE_TASK = 50_000
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): root is the least node of its component.
 
@@ -31,13 +35,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     longest path. No edges give no rows; edges from a node to itself say nothing.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    sign = None
+    sign = (now.count(), None)
     for _ in range(rounds):
-        now = written(_star(_star(now, True), False), "edges")
-        got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(got) == sign:
+        held = now.coalesce(1) if sign[0] <= ONE_TASK else now
+        now = written(_star(_star(held, True), False), "edges")
+        got = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if got == sign:
             break
-        sign = tuple(got)
+        sign = got
     else:
         raise RuntimeError(f"no end after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

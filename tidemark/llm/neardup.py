@@ -240,8 +240,11 @@ def near_duplicates(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     common = values.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("cls").orderBy("df", "v")
     prefix = values.join(common, "v").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - _ceil_share(F.col("n"), PERCENT) + 1)
-    prefix = written(prefix.where("df > 1").select("v", "cls", "n"), "prefix")
-    centre = prefix.groupBy("v").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v", "a")
+    # a list's centre is its member with the least share of values of its own: of near copies the
+    # text that the others were made from
+    own = F.sum((F.col("df") == 1).cast("int")).over(Window.partitionBy("cls")) / F.col("n")
+    prefix = written(prefix.withColumn("own", own).where("df > 1").select("v", "cls", "n", "own"), "prefix")
+    centre = prefix.groupBy("v").agg(F.min_by("cls", F.struct("own", "cls")).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v", "a")
     starred = prefix.join(centre, "v").where("cls <> a").select("v", "a", F.col("cls").alias("b"), "n")
     # first a star of each list and, for short lists' pairs, each class's least partner
     least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -251,12 +254,13 @@ def near_duplicates(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     # then what may still connect two components
     other = _split_pairs(pairs.join(least, ["a", "b"], "left_anti"), roots)
     distance = (1 - F.col("both") / F.col("total")).alias("d")
-    members = starred.join(first.select("a", "b", distance), ["a", "b"]).join(roots.withColumnRenamed("node", "b"), "b", "left").select("v", F.col("b").alias("cls"), "n", "d", F.coalesce("root", "b").alias("root"))
+    stars = starred.select("a", "b", "n").distinct()  # the lists of one centre together
+    members = stars.join(first.select("a", "b", distance), ["a", "b"]).join(roots.withColumnRenamed("node", "b"), "b", "left").select("a", F.col("b").alias("cls"), "n", "d", F.coalesce("root", "b").alias("root"))
     limit = (100 - PERCENT) / 100
-    away = members.where(F.col("d") > limit).select("v", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "d", "root")))
-    near = (F.col("d") >= F.col("d1") - limit - 1e-9) & (F.col("root") != F.col("root1")) & ((F.col("d") <= limit) | (F.col("cls") < F.col("cls1")))
+    away = members.where(F.col("d") > limit).select("a", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "d", "root")))
+    apart = (F.col("root") != F.col("root1")) & ((F.col("d") <= limit) | (F.col("cls") < F.col("cls1")))
     fits = 100 * F.least("n", "n1") >= PERCENT * F.greatest("n", "n1")
-    beyond = away.join(members, "v").where(near & fits & (F.abs(F.col("d") - F.col("d1")) <= limit + 1e-9)).select(F.least("cls", "cls1").alias("a"), F.greatest("cls", "cls1").alias("b"))
+    beyond = away.join(members, "a").where(apart & fits & (F.abs(F.col("d") - F.col("d1")) <= limit + 1e-9)).select(F.least("cls", "cls1").alias("a"), F.greatest("cls", "cls1").alias("b"))
     late = written(_links(_confirmed(other.unionByName(beyond).distinct(), packed, size)), "links")
     if late.limit(1).collect():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
