@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -18,42 +19,65 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import new_path, written
 
 SCHEMA = "doc_id long, position long, ids array<int>"
-#: Words kept with their ids by each worker; beyond it the memory is emptied.
-CACHE_WORDS = 400_000
+#: Words kept with their ids by each worker, and as many that were used before those.
+CACHE_WORDS = 600_000
 #: Text bytes encoded into one Arrow batch.
 CHUNK_BYTES = 4 << 20
 
 
 class _Words(dict):
     """Ids of a blank-free piece of text as little-endian bytes. The tokenizer splits at white
-    space before anything else, so a text's ids are those of its pieces."""
+    space before anything else, so a text's ids are those of its pieces; it also splits letters
+    from the marks after them, so a letter's or digit's word serves before any marks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        self.encode, self.older = Tokenizer.from_file(path).encode, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(b".,;:!?%$&*#|")
+            if len(core) < len(word) and b"<|" not in word and core.decode()[-1:].isalnum():
+                ids = self[core] + self[word[len(core) :]]
+            else:
+                ids = pack(f"<{len(got)}I", *got) if (got := self.encode(word.decode(), add_special_tokens=False).ids) else b""
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def text(self, raw: bytes) -> bytes:
+        # A-Z are lower-cased by the tokenizer too, but for its special tokens
+        pieces = raw.split() if b"<|" in raw else raw.lower().split()
+        return b"".join(map(self.__getitem__, pieces))
+
+
+_of_worker: dict[str, _Words] = {}
+
+
+def _words(path: str) -> _Words:
+    """Kept from task to task of a worker."""
+    if path not in _of_worker:
+        _of_worker[path] = _Words(path)
+    return _of_worker[path]
+
 
 def _encoder(tokenizer_path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, position = _Words(tokenizer_path), 0
+        words, position = _words(tokenizer_path), 0
         for batch in batches:
             ids, blobs, lengths, held = batch.column(0), [], [], 0
             first = 0
             for i, text in enumerate(batch.column(1)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                blob = b"".join(map(words.__getitem__, raw.split())) + end
+                blob = words.text(raw) + end
                 blobs.append(blob)
                 lengths.append(len(blob) // 4)
                 held += len(blob)
