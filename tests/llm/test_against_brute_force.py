@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import importlib
 import random
 import re
 import zlib
@@ -326,6 +327,28 @@ def test_mixing(spark):
     assert abs(shares[0] - shares[1]) <= 2 * 800 and shares[1] > 0.9 * sum(size(r) for r in out if r.source == "b")
 
 
+def test_mixture_keeps_every_document(spark):
+    """A hot source, a source of one row and a row without a source, against plain Python."""
+    rng = random.Random(6)
+    rows = [(k, "x" * rng.randint(0, 300), rng.choice(["hot"] * 6 + ["b", "c"])) for k in range(500)] + [(500, "y", "one"), (501, "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    placed = mixing.mix(df, block_bytes=500).collect()
+    totals = collections.Counter()
+    for _, t, s in rows:
+        totals[s] += len(t) + 1
+    order = mixing.schedule(mixing.slots_of(mixing.tempered(totals, 0.7), 1000))
+    held, done, want = collections.defaultdict(list), collections.Counter(), []
+    for r in sorted(placed, key=lambda r: r.place):
+        held[r.source, r.place // 500].append(r.doc_id)
+    while len(want) < len(rows):
+        for s in order:
+            want += held[s, done[s]]
+            done[s] += 1
+    assert [r.doc_id for r in mixing.mixture(df, block_bytes=500).collect()] == want
+    pipeline = importlib.import_module("corpus_pipeline")
+    assert sorted(r.doc_id for r in pipeline.mixed_documents(spark, df, "").collect()) == list(range(502))
+
+
 def test_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."
     rows = [

@@ -115,3 +115,9 @@ def mix(df: DataFrame, weights: dict | None = None, power: float = 0.7, block_by
 def taken(df: DataFrame, **options) -> DataFrame:
     """The documents of the mixture, with the columns of ``df``."""
     return mix(df, **options).where("taken").select(*df.columns)
+
+
+def mixture(df: DataFrame, **options) -> DataFrame:
+    """All rows of ``df`` in the order of their slots. A source that has run out leaves its slots
+    unused, so the others go on at their relative weights; rows without a slot come last."""
+    return mix(df, **options).orderBy(F.col("slot").asc_nulls_last(), "place").select(*df.columns)
