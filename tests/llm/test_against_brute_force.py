@@ -182,6 +182,35 @@ def test_decontamination(spark, inline):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 10
 
 
+@pytest.mark.parametrize("inline", [100_000, 1])
+def test_decontamination_of_reordered_items(spark, inline):
+    """Items with their parts in another order, in long texts and at the edges, against all windows."""
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([40, 40, 45, 50, 59, 59, 59, 41, 44, 58])]
+    rows = []
+    for k in range(40):
+        copy = items[k % 10][1].split()
+        cut = len(copy) // rng.choice([2, 2, 3])
+        own = [rng.choice(words) for _ in range(rng.choice([0, 30, 100]))]
+        at = rng.choice([0, len(own), rng.randint(0, len(own))])
+        rows.append((k, " ".join(own[:at] + copy[cut:] + copy[:cut] + own[at:])))
+    shingles = lambda w: collections.Counter(tuple(w[a : a + 5]) for a in range(len(w) - 4))
+    want = {}
+    for i, t in rows:
+        w = words_of(t)
+        for j, s in items:
+            other = words_of(s)
+            b = shingles(other)
+            for a in range(-len(other), len(w)):
+                one = shingles(w[max(a, 0) : a + len(other)])
+                both, total = sum((one & b).values()), sum((one | b).values())
+                if total and both * 100 >= total * 80:
+                    want[i, j] = max(want.get((i, j), (0,)), (both / total, -max(a, 0)))
+    got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), inline=inline).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, -r.start) for r in got} == want and len(want) > 30
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

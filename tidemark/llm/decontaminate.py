@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-An item of L words is compared with windows of L words. Windows that share no shingle with an
-item are at similarity 0 of it, so only those that bring a shared shingle to the item's place are
-fingerprinted. Fingerprints have 64 bits, cut into ``RADIUS + 1`` blocks: two within ``RADIUS``
+An item of L words is compared with windows of L words, at any offset. A window at similarity s
+holds a share s of the item's shingles or more, so only windows around so many places with shared
+shingles are fingerprinted. Fingerprints have 64 bits, cut into ``RADIUS + 1`` blocks: two within ``RADIUS``
 bits agree on a block, so a join by length, block and value finds all of them. Candidates are
 verified by the exact similarity of their shingle multisets, each shingle weighted by its count.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import bind
+from tidemark.llm._shared import bind, written
 
 SHINGLE = 5
 #: At similarity 0.8 a bit differs with probability 0.15: beyond 23 of 64 about once in 100,000.
@@ -67,8 +67,9 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return items.withColumn("print", simhash(F.col("shingles")))
 
 
-def _seeded(docs: DataFrame, items: DataFrame, inline: int) -> DataFrame:
-    """(id, copy, w, place, h): each place of a text whose shingle an item has."""
+def _seeded(docs: DataFrame, items: DataFrame, inline: int) -> tuple[DataFrame, DataFrame]:
+    """(id, copy, place, h): each place of a text whose shingle an item has; (id, copy, w) of
+    these texts, or of all."""
     known = items.select(F.explode("shingles").alias("h")).distinct()
     some = [r.h for r in known.limit(inline + 1).collect()]
     if len(some) <= inline:
@@ -76,12 +77,22 @@ def _seeded(docs: DataFrame, items: DataFrame, inline: int) -> DataFrame:
         at = "xxhash64(" + ", ".join(f"get(w, i + {k})" for k in range(SHINGLE)) + ")"
         found = docs.withColumn("places", F.expr(f"filter(CASE WHEN size(w) >= {SHINGLE} THEN sequence(0, size(w) - {SHINGLE}) ELSE cast(array() AS array<int>) END, i -> {at} IN ({listed}))"))
         # an outer explode, as a filter on the places would be pushed to where words are cut anew
-        found = found.select("id", "copy", "w", F.explode_outer("places").alias("place")).where("place IS NOT NULL")
-        return found.withColumn("h", _shingle(F.col("w"), F.col("place")))
-    # too many for a plan: join the shingles, then fetch the words of the texts that have some
-    places = docs.select("id", "copy", F.posexplode_outer(_shingles(F.col("w"))).alias("place", "h")).join(known, "h")
-    whole = docs.select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), "w")
-    return places.join(whole, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("id", "copy", "w", "place", "h")
+        found = found.withColumn("any", F.explode_outer(F.slice("places", 1, 1))).where("any IS NOT NULL").drop("any")
+        # written once: places and words are read apart, and words should be cut once
+        found = written(found, "seeded")
+        return found.select("id", "copy", "w", F.explode("places").alias("place")).select("id", "copy", "place", _shingle(F.col("w"), F.col("place")).alias("h")), found.select("id", "copy", "w")
+    # too many for a plan: join the shingles
+    return docs.select("id", "copy", F.posexplode_outer(_shingles(F.col("w"))).alias("place", "h")).join(known, "h"), docs.select("id", "copy", "w")
+
+
+def _starts(percent: int) -> Column:
+    """Starts of the windows of an item that may reach ``percent``. A window needs that share of
+    the item's shingles, so that many neighbours among ``places`` lie within it."""
+    least = F.greatest(F.ceil((F.col("length") - SHINGLE + 1) * percent / F.lit(100)).cast("int"), F.lit(1))
+    last = lambda i: F.get("places", i + least - 1)
+    span = F.col("length") - SHINGLE
+    runs = F.filter(F.sequence(F.lit(0), F.size("places") - least), lambda i: last(i) - F.get("places", i) <= span)
+    return F.when(F.size("places") >= least, F.array_distinct(F.flatten(F.transform(runs, lambda i: F.sequence(last(i) - span, F.get("places", i))))))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", inline: int = INLINE) -> DataFrame:
@@ -96,18 +107,24 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = 80,
     docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), words(text).alias("w"))
     items = items_of(benchmark)
     # a few bytes an item and shingle: the planner broadcasts them while they are small
-    where = items.select("item_id", "length", F.posexplode("shingles").alias("at", "h"))
-    seeds = _seeded(docs, items, inline).join(where, "h")
-    start = F.greatest(F.col("place") - F.col("at"), F.lit(0))
-    end = F.least(F.col("place") - F.col("at") + F.col("length"), F.size("w"))
-    windows = seeds.select("id", "copy", "item_id", "length", start.alias("start"), F.slice("w", start + 1, end - start).alias("window"))
-    windows = windows.groupBy("id", "copy", "length", "start", "window").agg(F.collect_set("item_id").alias("seeds"))
+    where = items.select("item_id", "length", F.explode(F.array_distinct("shingles")).alias("h"))
+    seeds, texts = _seeded(docs, items, inline)
+    held = seeds.join(where, "h").groupBy("id", "copy", "item_id", "length").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    held = held.select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), "item_id", "length", F.explode(_starts(percent)).alias("at"))
+    held = held.groupBy("_id", "_copy", "length", "at").agg(F.collect_set("item_id").alias("seeds"))
+    held = held.groupBy("_id", "_copy").agg(F.collect_list(F.struct("length", "at", "seeds")).alias("wanted"))
+    windows = texts.join(held, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")))
+    windows = windows.select("id", "copy", "w", F.inline("wanted"))
+    start = F.greatest(F.col("at"), F.lit(0))
+    end = F.least(F.col("at") + F.col("length"), F.size("w"))
+    windows = windows.select("id", "copy", "length", "at", start.alias("start"), "seeds", F.slice("w", start + 1, end - start).alias("window"))
     prints = windows.withColumn("own", _shingles(F.col("window"))).withColumn("print", simhash(F.col("own")))
-    ours = prints.select("id", "copy", "length", "start", "seeds", "own", "print", F.inline(_blocks(F.col("print"))))
+    ours = prints.select("id", "copy", "length", "at", "start", "seeds", "own", "print", F.inline(_blocks(F.col("print"))))
     theirs = items.select("item_id", "length", F.col("shingles").alias("other"), F.col("print").alias("item_print"), F.inline(_blocks(F.col("print"))))
     pairs = ours.join(theirs, ["length", "block", "value"]).where(F.array_contains("seeds", F.col("item_id")))
     close = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    close = close.groupBy("id", "copy", "item_id", "start").agg(F.first("own").alias("own"), F.first("other").alias("other"))
+    # windows cut at the start of a text share their start
+    close = close.groupBy("id", "copy", "item_id", "at").agg(F.first("start").alias("start"), F.first("own").alias("own"), F.first("other").alias("other"))
     common = _common(F.col("own"), F.col("other"))
     scored = close.withColumn("common", common).withColumn("total", F.size("own") + F.size("other") - F.col("common"))
     good = scored.where(F.col("common") * 100 >= F.col("total") * percent).withColumn("similarity", F.col("common") / F.col("total"))
