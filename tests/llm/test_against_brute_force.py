@@ -5,6 +5,7 @@ import hashlib
 import importlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -393,3 +394,29 @@ def test_licenses(spark):
     df = spark.createDataFrame(rows, "doc_id long, where string, text string")
     got = {r.doc_id: (r.license, r.origin) for r in licenses.scan_licenses(df, df["where"]).collect()}
     assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "header"), 4: ("GPL-3.0", "file"), 5: ("GPL-3.0", "inherited"), 6: (None, "none"), 7: (None, "none"), 8: (None, "none")}
+
+
+def test_licenses_in_their_common_forms(spark):
+    """Wrapped notices behind comment marks, a complete licence file, identifiers, notices in prose."""
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint x;"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n" + "value = compute(left, right)\n" * 20
+    mit = licenses.FULL["MIT"].replace("MIT License. ", "MIT License\n\nCopyright (c) 2019 Some Body. All rights reserved.\n\n")
+    wrapped = lambda t: "\n".join(textwrap.fill(x, 76) for x in t.split("\n"))
+    prose = " ".join(f"word{k}" for k in range(150))
+    rows = [
+        (1, "a/x.c", mpl, "MPL-2.0", "header"),
+        (2, "b/x.py", gpl, "GPL-3.0", "header"),
+        (3, "c/LICENSE", wrapped(mit), "MIT", "file"),
+        (4, "c/d/x.py", "plain words", "MIT", "inherited"),
+        (5, "e/text", wrapped(mit), "MIT", "file"),
+        (6, "f/x.py", "# SPDX-License-Identifier: MIT\nx = 1", "MIT", "header"),
+        (7, "g/x.py", "// SPDX-License-Identifier: Apache-2.0", "Apache-2.0", "header"),
+        (8, "h/x.py", "SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0", "header"),
+        (9, "i/x.py", "SPDX-License-Identifier: ISC", "ISC", "header"),
+        (10, "j/x", f"{prose} Licensed under the Apache License, Version 2.0. {prose}", "Apache-2.0", "header"),
+        (11, "k/x", f"{prose} the licence office has no permission to speak of licensed trades {prose}", None, "none"),
+        (12, "l/x", wrapped("Copyright (c) 2001 Some Body. All rights reserved.\n" + licenses.FULL["BSD-3-Clause"]), "BSD-3-Clause", "file"),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, where string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan_licenses(df, df["where"]).collect()}
+    assert got == {r[0]: r[3:] for r in rows}
