@@ -379,6 +379,29 @@ def test_mixture_keeps_every_document(spark):
     assert sorted(r.doc_id for r in pipeline.mixed_documents(spark, df, "").collect()) == list(range(502))
 
 
+def test_mixing_of_more_sources_than_a_group(spark):
+    """Groups of about four sources, in levels: each block has a slot of its own, and each source
+    is near its share after any slot until one runs out."""
+    rows = [(k, "x" * 99, f"s{k % 40}" if k % 3 else "hot") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    weights = {f"s{k}": 1.0 for k in range(40)} | {"hot": 20.0}
+    out = mixing.mix(df, weights, block_bytes=100, period=1000, group=4).collect()
+    slots = sorted((r.slot, r.source, r.block) for r in out)
+    assert len({x[0] for x in slots}) == len(rows) and {r.block for r in out if r.source == "hot"} == set(range(1000))
+    got, done, total = [x for x in slots if x[0] < min(x[0] for x in slots) + 500], collections.Counter(), sum(weights.values())
+    for n, (_, s, j) in enumerate(got, 1):
+        assert j == done[s]
+        done[s] += 1
+        assert all(abs(done[k] - n * w / total) < 4 for k, w in weights.items())
+
+
+def test_mixing_of_very_many_sources(spark):
+    df = spark.range(10_500).selectExpr("id AS doc_id", "'text' AS text", "concat('www.', id, '.example') AS source")
+    out = mixing.mix(df)
+    assert out.where("slot IS NOT NULL").select("slot").distinct().count() == 10_500
+    assert mixing.mixture(df).count() == 10_500
+
+
 def test_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."
     rows = [

@@ -4,22 +4,27 @@ Each source's documents, in the order of a hash, are cut into blocks of ``block_
 source with weight w, block j is released at floor(j / w) and due by ceil((j + 1) / w); in each
 slot the released block that is due first goes. As the weights fill every slot, all blocks
 meet their deadlines, so after any number of slots a source is less than one block away from its
-share. Weights are multiples of 1 / period, the schedule repeats after a period, and the driver
-works out one period, whatever the amount of data.
+share. Weights are multiples of 1 / period, and the schedule repeats after a period.
+
+Sources beyond ``GROUP`` are dealt into groups by a hash: groups are scheduled like sources, and
+a group's slots are scheduled among its sources, so a source is less than a block a level away
+from its share. Each group's period is worked out in a task of its own, whatever the amount of
+data and the number of sources.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import task_count
+from tidemark.llm._shared import task_count, written
 
-#: More sources than this are refused: their schedule is made on the driver and broadcast.
-MAX_SOURCES = 10_000
-TOTALS = "source string, bytes long, rows long"
+#: So many sources or groups are scheduled together, on average.
+GROUP = 10_000
+PLANNED = "name string, above string, slots int, length int, total double, places array<int>"
 
 
 def slots_of(weights: dict, period: int) -> dict:
@@ -62,7 +67,55 @@ def tempered(totals: dict, power: float) -> dict:
     return {k: float(max(b, 1)) ** power for k, b in totals.items()}
 
 
-def mix(df: DataFrame, weights: dict | None = None, power: float = 0.7, block_bytes: int = 16_384, period: int = 1000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _planned(period: int):
+    """Arrow rows (name, above, weight) of a group to its period: rows of ``PLANNED``."""
+    def plan(rows: pa.Table) -> pa.Table:
+        given = dict(sorted(zip(rows["name"].to_pylist(), rows["weight"].to_pylist(), strict=True)))
+        slots = slots_of(given, max(period, 10 * len(given)))
+        places: dict = {k: [] for k in slots}
+        for t, k in enumerate(schedule(slots)):
+            places[k].append(t)
+        n, total, above = len(slots), sum(given.values()), rows["above"][0].as_py()
+        columns = [list(slots), [above] * n, list(slots.values()), [sum(slots.values())] * n, [total] * n, list(places.values())]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32())]
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["name", "above", "slots", "length", "total", "places"])
+
+    return plan
+
+
+def _levels(weights: DataFrame, period: int, group: int) -> list[DataFrame]:
+    """Periods of the sources in their groups, of the groups in theirs, and so on up to one group."""
+    levels, n = [], weights.count()
+    while n:
+        groups = -(-n // group)
+        named = weights.withColumn("above", F.pmod(F.xxhash64("name"), F.lit(groups)).cast("string"))
+        levels.append(written(named.groupBy("above").applyInArrow(_planned(period), PLANNED), "periods"))
+        if groups == 1:
+            break
+        weights = levels[-1].select(F.col("above").alias("name"), F.col("total").alias("weight")).distinct()
+        n = weights.count()
+    return levels
+
+
+def _slotted(blocks: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``blocks`` (name, block, ...) with ``slot``; null for sources that have none."""
+    out = blocks.withColumns({"_at": F.col("name"), "slot": F.col("block")})
+    for planned in levels:
+        shares = planned.select(F.col("name").alias("_at"), F.col("above").alias("_above"), F.col("slots").alias("_k"), F.col("length").alias("_length"))
+        # a row a slot of the period, so that the blocks of a large source aren't joined as one key
+        places = planned.select(F.col("name").alias("_at"), F.posexplode("places").alias("_r", "_t"))
+        out = out.join(shares, "_at", "left").withColumn("_r", (F.col("slot") % F.col("_k")).cast("int")).join(places, ["_at", "_r"], "left")
+        out = out.withColumns({"slot": F.expr("slot div _k") * F.col("_length") + F.col("_t"), "_at": F.col("_above")})
+        out = out.drop("_above", "_k", "_length", "_r", "_t")
+    return out.drop("_at") if levels else out.drop("_at").withColumn("slot", F.lit(None).cast("long"))
+
+
+def _name(source: Column) -> Column:
+    """A source as a string that isn't null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def mix(df: DataFrame, weights: dict | None = None, power: float = 0.7, block_bytes: int = 16_384, period: int = 1000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group: int = GROUP) -> DataFrame:
     """``df`` with ``block`` (of its source), ``slot`` (its block's place in the mixture),
     ``place`` (bytes of its source before it) and ``taken``: whether its slot comes before the
     first that lacks its block, so that the taken documents have the target weights. Columns of
@@ -78,37 +131,29 @@ def mix(df: DataFrame, weights: dict | None = None, power: float = 0.7, block_by
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long") + 1
     rank = F.xxhash64(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
     n = task_count(spark)
-    keyed = df.withColumns({"_size": size, "_rank": rank, "_bucket": F.pmod(rank, F.lit(n)).cast("int")})
-    parts = keyed.groupBy(F.col(source_col).alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("_size").alias("bytes"))
-    totals_rows = parts.groupBy("_s").agg(F.sum("bytes").alias("bytes")).limit(MAX_SOURCES + 1).collect()
-    if len(totals_rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals = {r["_s"]: r["bytes"] for r in totals_rows}
-    given = {k: w for k, w in (weights or tempered(totals, power)).items() if k in totals and w > 0}
-    slots = slots_of(given, max(period, 10 * len(given))) if given else {}
-    order, seen = schedule(slots) if slots else [], dict.fromkeys(slots, 0)
-    length = len(order)
-    plan = []
-    for t, k in enumerate(order):
-        plan.append((k, seen[k], t, slots[k]))
-        seen[k] += 1
-    place_of = {(k, j): t for k, j, t, _ in plan}
-    missing = {k: -(-totals[k] // block_bytes) for k in slots}
-    end = min((b // slots[k] * length + place_of[k, b % slots[k]] for k, b in missing.items()), default=0)
-    # at most ten rows a source or one a slot of the period
-    table = F.broadcast(spark.createDataFrame(plan, "_s string, _j int, _t int, _k int"))
-    share = F.broadcast(spark.createDataFrame([(k, v) for k, v in slots.items()], "_s string, _k int"))
-    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each source and bucket: sources x shuffle partitions
-    offsets = F.broadcast(parts.select("_s", "_b", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("_o")))
-    within = Window.partitionBy(source_col, "_bucket").orderBy("_rank", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = df.withColumns({"_size": size, "_rank": rank, "_bucket": F.pmod(rank, F.lit(n)).cast("int"), "_s": _name(F.col(source_col))})
+    # written once: texts aren't read again for totals, offsets and blocks
+    parts = written(keyed.groupBy(F.col("_s").alias("name"), F.col("_bucket").alias("_b")).agg(F.sum("_size").alias("bytes")), "parts")
+    totals = parts.groupBy("name").agg(F.sum("bytes").alias("bytes"))
+    if weights:
+        given = [("" if k is None else f"={k}", float(w)) for k, w in weights.items() if w > 0]
+        wanted = totals.join(spark.createDataFrame(given, "name string, weight double"), "name").select("name", "weight")
+    else:
+        wanted = totals.select("name", F.pow(F.greatest("bytes", F.lit(1)).cast("double"), F.lit(float(power))).alias("weight"))
+    levels = _levels(wanted, period, group)
+    before = Window.partitionBy("name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("_o", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    first, last = F.expr(f"_o div {block_bytes}"), F.expr(f"(_o + bytes - 1) div {block_bytes}")
+    blocks = _slotted(offsets.select("name", "_b", "_o", first.alias("_first"), F.explode(F.sequence(first, last)).alias("block")), levels)
+    # the blocks that a bucket's rows begin in, by bucket: no more numbers than blocks and buckets
+    held = blocks.groupBy("name", "_b", "_o", "_first").agg(F.sort_array(F.collect_list(F.struct("block", "slot"))).alias("_slots"))
+    held = held.select("name", "_b", "_o", "_first", F.col("_slots.slot").alias("_slots"))
+    end = _slotted(totals.select("name", F.expr(f"(bytes + {block_bytes - 1}) div {block_bytes}").alias("block")), levels).agg(F.min("slot")).first()[0] or 0
+    within = Window.partitionBy("_s", "_bucket").orderBy("_rank", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_p", F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    placed = placed.join(offsets, placed[source_col].eqNullSafe(offsets["_s"]) & (placed["_bucket"] == offsets["_b"])).drop("_s", "_b")
+    placed = placed.join(held.withColumnsRenamed({"name": "_s", "_b": "_bucket"}), ["_s", "_bucket"])
     placed = placed.withColumn("place", F.col("_p") + F.col("_o")).withColumn("block", F.floor(F.col("place") / F.lit(block_bytes)))
-    placed = placed.join(share, placed[source_col].eqNullSafe(share["_s"]), "left").drop("_s")
-    placed = placed.withColumn("_r", (F.col("block") % F.col("_k")).cast("int")).withColumn("_q", F.expr("block div _k")).drop("_k")
-    placed = placed.join(table, placed[source_col].eqNullSafe(table["_s"]) & (placed["_r"] == table["_j"]), "left")
-    out = placed.withColumn("slot", F.col("_q") * F.lit(length) + F.col("_t")).withColumn("taken", F.coalesce(F.col("slot") < F.lit(end), F.lit(False)))
+    out = placed.withColumn("slot", F.get("_slots", (F.col("block") - F.col("_first")).cast("int"))).withColumn("taken", F.coalesce(F.col("slot") < F.lit(end), F.lit(False)))
     return out.select(*df.columns, "block", "slot", "place", "taken")
 
 
