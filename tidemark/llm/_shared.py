@@ -56,9 +56,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """Tells rows apart that repeat a document id with another text."""
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+def copy_of(text_col: str) -> Column:
+    """Tells rows apart that repeat a document id with another text; null and empty are equal."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Tasks that the rows of one key are dealt over.
+SPREAD = 32
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``many`` with the columns of ``one``, which has a row a key. A key that many rows share is
+    dealt over SPREAD tasks by a hash of ``by``; the row of ``one`` goes to those it is needed in."""
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    wanted = salted.select(key, "_salt").distinct().join(one, key)
+    return salted.join(wanted, [key, "_salt"], how).drop("_salt")
 
 
 def task_count(spark: SparkSession) -> int:

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import written
+from tidemark.llm._shared import spread_join, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's larger (or smaller) neighbours are linked to the least of all it sees."""
+    """Each node's larger (or smaller) neighbours are linked to the least of all it sees. The
+    neighbours of a hub are dealt over many tasks, each with its own least first."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    joined = spread_join(both, least, "u", "v")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -24,8 +25,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-#: Up to so many edges a round is one task, without shuffles; a round of more is distributed.
-ONE_TASK = 50_000
+def _signed(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and a sum of their hashes."""
+    now = written(edges, "edges")
+    return now, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -34,12 +37,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round is written to the shared folder; the rounds grow with the logarithm of the
     longest path. No edges give no rows; edges from a node to itself say nothing.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    sign = (now.count(), None)
+    now, sign = _signed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
-        held = now.coalesce(1) if sign[0] <= ONE_TASK else now
-        now = written(_star(_star(held, True), False), "edges")
-        got = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now, got = _signed(_star(_star(now, True), False))
         if got == sign:
             break
         sign = got

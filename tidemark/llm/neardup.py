@@ -12,10 +12,11 @@ compared exactly.
   group of near copies) makes no pairs. Sketches hold a twentieth of the set more than needed, so
   classes with few such values still meet under others. The rest, both sides of which have many,
   are compared by whole sets with the rarest value first, where each list links its members
-  to one centre; members that stay apart from it are compared with those that the triangle
-  inequality of the Jaccard distance doesn't exclude.
+  to one centre; members that stay apart from it are compared with those that the place of the
+  value in both sets and the sets' sizes don't exclude.
 
 Lists never become all their pairs: short ones are bounded by ``LONG``, long ones are stars.
+Neither way drops a link.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import written
+from tidemark.llm._shared import SPREAD, copy_of, fresh, spread_join, written
 from tidemark.llm.components import connected_components
 from tidemark.llm.text_hash import mix, span_hashes, text_bytes, window_hashes, word_hashes
 
@@ -190,10 +191,12 @@ def _ceil_share(c: Column, percent: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Pairs with the sizes of intersection and union of their full sets."""
-    one = texts.select(F.col("cls").alias("a"), F.col("packed").alias("x"))
-    two = texts.select(F.col("cls").alias("b"), F.col("packed").alias("y"))
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(_jaccard(size), "a long, b long, both long, total long")
+    """Pairs with the sizes of intersection and union of their full sets. The pairs of a class are
+    dealt over SPREAD tasks."""
+    pairs = written(pairs.select("a", "b").withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")), "pairs")
+    one, two = (texts.select(F.col("cls").alias(c), F.col("packed").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    one = pairs.select("a", "deal").distinct().join(one, "a")
+    return pairs.join(two, "b").join(one, ["a", "deal"]).select("a", "b", "x", "y").mapInArrow(_jaccard(size), "a long, b long, both long, total long")
 
 
 def _links(confirmed: DataFrame) -> DataFrame:
@@ -207,16 +210,10 @@ def _split_pairs(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
 
-def near_duplicates(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable by links, itself included), kept
-    (doc_id = component_id): a row for each row.
-
-    Null and empty texts and texts of blanks have the empty set and no links: their component is
-    their own id. Copies share a component. A null id is the least: its component, and that of
-    texts linked with it, is null, and a null id is kept. Rows that repeat an id are compared as documents of their
-    own and share the id's fate in ``kept``.
-    """
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("copy"), F.col(text_col).alias("text"))
+def _classes(df: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, copy, n, cls) of each row, and (cls, id, copy) of the first document of the component
+    of each class."""
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), copy_of(text_col).alias("copy"), F.col(text_col).alias("text"))
     docs = written(texts.mapInArrow(_sketches(size), "id long, copy long, n int, cls long, kept binary"), "sketches")
     classes = docs.where("n > 0").groupBy("cls").agg(F.min(F.struct("id", "copy")).alias("m"), F.max("n").alias("n"))
     lists = docs.where("kept IS NOT NULL").select("cls", "n", "kept").mapInArrow(_unpacked, "v long, cls long, n int")
@@ -232,41 +229,97 @@ def near_duplicates(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(rest).distinct()
     holders = classes.join(wanted, "cls").select("cls", "n", "m.id", "m.copy")
     once = texts.join(holders, ["id", "copy"]).select("cls", "n", "text")
-    packed = written(once.mapInArrow(_compressed, "cls long, n int, packed binary"), "packed").dropDuplicates(["cls"])
+    packed = written(once.mapInArrow(_compressed, "cls long, n int, packed binary").dropDuplicates(["cls"]), "packed")
 
     # classes with many values in long lists: whole sets, rarest value first
     values = packed.join(rest, "cls", "left_semi").mapInArrow(_whole_sets(size), "v long, cls long, n int")
     values = written(values, "values")
     common = values.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("cls").orderBy("df", "v")
-    prefix = values.join(common, "v").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - _ceil_share(F.col("n"), PERCENT) + 1)
+    prefix = spread_join(values, common, "v", "cls").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - _ceil_share(F.col("n"), PERCENT) + 1)
     # a list's centre is its member with the least share of values of its own: of near copies the
     # text that the others were made from
     own = F.sum((F.col("df") == 1).cast("int")).over(Window.partitionBy("cls")) / F.col("n")
-    prefix = written(prefix.withColumn("own", own).where("df > 1").select("v", "cls", "n", "own"), "prefix")
+    prefix = written(prefix.withColumn("own", own).where("df > 1").select("v", "cls", "n", "k", "own"), "prefix")
     centre = prefix.groupBy("v").agg(F.min_by("cls", F.struct("own", "cls")).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v", "a")
-    starred = prefix.join(centre, "v").where("cls <> a").select("v", "a", F.col("cls").alias("b"), "n")
+    starred = written(spread_join(prefix, centre, "v", "cls").select("v", "a", F.col("cls").alias("b"), "n", "k"), "starred")
     # first a star of each list and, for short lists' pairs, each class's least partner
     least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = written(_confirmed(starred.select("a", "b").unionByName(least).distinct(), packed, size), "confirmed")
-    edges = _links(first)
-    roots = connected_components(edges)
+    first = written(_confirmed(starred.where("a <> b").select("a", "b").unionByName(least).distinct(), packed, size), "confirmed")
+    roots = connected_components(_links(first))
     # then what may still connect two components
     other = _split_pairs(pairs.join(least, ["a", "b"], "left_anti"), roots)
-    distance = (1 - F.col("both") / F.col("total")).alias("d")
-    stars = starred.select("a", "b", "n").distinct()  # the lists of one centre together
-    members = stars.join(first.select("a", "b", distance), ["a", "b"]).join(roots.withColumnRenamed("node", "b"), "b", "left").select("a", F.col("b").alias("cls"), "n", "d", F.coalesce("root", "b").alias("root"))
-    limit = (100 - PERCENT) / 100
-    away = members.where(F.col("d") > limit).select("a", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "d", "root")))
-    apart = (F.col("root") != F.col("root1")) & ((F.col("d") <= limit) | (F.col("cls") < F.col("cls1")))
-    fits = 100 * F.least("n", "n1") >= PERCENT * F.greatest("n", "n1")
-    beyond = away.join(members, "a").where(apart & fits & (F.abs(F.col("d") - F.col("d1")) <= limit + 1e-9)).select(F.least("cls", "cls1").alias("a"), F.greatest("cls", "cls1").alias("b"))
-    late = written(_links(_confirmed(other.unionByName(beyond).distinct(), packed, size)), "links")
+    late = written(_links(_confirmed(other.unionByName(_beyond(starred, roots)).distinct(), packed, size)), "links")
     if late.limit(1).collect():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
-    grouped = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.col("m.id").alias("first"))
-    named = grouped.groupBy("root").agg(F.min("first").alias("component"))
-    of_class = grouped.join(named, "root").select("cls", "component")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    real = lambda c: F.when(c != NO_ID, c)
-    return docs.join(of_class, "cls", "left").select(real(F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    grouped = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "m")
+    named = grouped.groupBy("root").agg(F.min("m").alias("first"))
+    return docs.select("id", "copy", "n", "cls"), spread_join(grouped, named, "root", "cls").select("cls", "first")
+
+
+def _beyond(starred: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of a list's members that aren't known to be connected and may be linked.
+
+    Under a value at places k and l (from 1, rarest first) of sets of n >= m values, a pair whose
+    rarest common value this is shares at most min(n - k, m - l) + 1 values, and a linked pair
+    shares 80/180 of n + m at least. So the smaller set's place lies in the first ninth of it, and
+    m is at most 9/4 (n - k + 1) - n. Sizes are dealt into steps of a fiftieth, part of the
+    join's key, so that a set meets those of fitting sizes only. Members of the
+    component of the list's centre are compared with others only, never with one another.
+    """
+    root = roots.withColumnRenamed("node", "b")
+    placed = spread_join(starred, root, "b", "v", "left").select("v", "a", F.col("b").alias("cls"), "n", "k", F.coalesce("root", "b").alias("root"))
+    placed = written(placed, "placed")
+    hub = placed.groupBy("v").agg(F.min(F.when(F.col("cls") == F.col("a"), F.col("root"))).alias("hub"))
+    placed = written(spread_join(placed, hub, "v", "cls").withColumn("apart", F.col("root") != F.col("hub")), "placed")
+    left = F.col("n") - F.col("k") + 1
+    step = lambda m: F.floor(F.log(F.greatest(m.cast("double"), F.lit(1.0))) / F.lit(0.02)).cast("int")
+    most = F.least(F.col("n").cast("double"), left * 100 / F.lit(PERCENT) + left - F.col("n"))
+    fewest = F.col("n") * PERCENT / F.lit(100)
+    larger = placed.where(most >= fewest - F.lit(1e-6)).withColumn("step", F.explode(F.sequence(step(fewest - F.lit(1e-6)), step(most + F.lit(1e-6)))))
+    smaller = placed.where((100 + PERCENT) * left >= 2 * PERCENT * F.col("n")).withColumn("step", step(F.col("n"))).select("v", "step", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "k", "root", "apart")))
+    shared = F.least(left, F.col("n1") - F.col("k1") + 1)
+    possible = (F.col("root") != F.col("root1")) & ((F.col("n") > F.col("n1")) | ((F.col("n") == F.col("n1")) & (F.col("cls") < F.col("cls1")))) & (shared * (100 + PERCENT) >= (F.col("n") + F.col("n1")) * PERCENT)
+    met = [larger.where(x).join(smaller.where(y), ["v", "step"]).where(possible) for x, y in (("apart", "true"), ("NOT apart", "apart1"))]
+    return met[0].unionByName(met[1]).select(F.least("cls", "cls1").alias("a"), F.greatest("cls", "cls1").alias("b"))
+
+
+def _real(c: Column) -> Column:
+    return F.when(c != NO_ID, c)
+
+
+def near_duplicates(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable by links, itself included), kept
+    (doc_id = component_id): a row for each row.
+
+    Null and empty texts and texts of blanks have the empty set and no links: their component is
+    their own id. Copies share a component. A null id is the least: its component, and that of
+    texts linked with it, is null, and a null id is kept. Rows that repeat an id are compared as
+    documents of their own and share the id's fate in ``kept``. Very long texts are compared
+    whole; an empty table gives an empty one; columns other than the two are not read.
+    """
+    docs, firsts = _classes(df, size, id_col, text_col)
+    joined = spread_join(docs.where("n > 0"), firsts, "cls", "id", "left").select("id", "n", F.col("first.id").alias("component"))
+    joined = joined.unionByName(docs.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    return joined.select(_real(F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), _real(F.col("component")).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def first_documents(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that are the first of their component, by id and then a hash of the text.
+
+    Of rows that repeat id and text one stays, the least by a hash of their other columns (maps
+    aside). Texts without words are linked with nothing: those of different ids, and all without
+    an id, stay. A null id is the least. Columns keep their names and values.
+    """
+    docs, firsts = _classes(df, size, id_col, text_col)
+    joined = spread_join(docs.where("n > 0"), firsts, "cls", "id", "left").where((F.col("first.id") == F.col("id")) & (F.col("first.copy") == F.col("copy")))
+    stay = joined.select("id", "copy").unionByName(docs.where("n = 0").select("id", "copy")).distinct()
+    own, copy, rank = fresh(df, "id0", "copy0", "rank0")
+    hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    keyed = df.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), copy: copy_of(text_col)})
+    kept = keyed.join(stay.withColumnsRenamed({"id": own, "copy": copy}), [own, copy], "left_semi")
+    wordless = ~F.rlike(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    unnamed = F.col(id_col).isNull() & wordless
+    # rows without id and words have no key in common, so that any number of them is dealt evenly
+    ranked = kept.where(~unnamed).withColumn(rank, F.row_number().over(Window.partitionBy(own, copy).orderBy(F.xxhash64(*hashed)))).where(F.col(rank) == 1)
+    return ranked.select(*df.columns).unionByName(keyed.where(unnamed).select(*df.columns))
