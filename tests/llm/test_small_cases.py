@@ -21,16 +21,14 @@ ROWS = [
     (6, LONG, "s0"),
     (7, "éè \U0001f600 x@y.example.com +1 (212) 555-0100", "s0"),
 ]
+CLASHES = ["score", "_score", "size", "_size", "size0", "bucket0", "_bucket", "rank0", "id", "id0", "copy", "text_crc32", "block", "slot", "h", "w", "n", "cls", "spans", "kept", "path", "shard", "_text", "first0"]
 SCHEMA = "doc_id long, text string, source string"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    for clash in ("score", "size", "id", "copy", "text_crc32", "block", "h", "w", "n", "cls", "spans", "kept", "path", "shard", "_size"):
-        if clash != "_size":
-            df = df.withColumn(clash, F.lit("clash"))
-    return df
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +83,57 @@ def test_decontaminate_odd_rows(spark, docs):
     assert decontaminate.contaminated(docs, benchmark(spark)).count() == 0
 
 
+#: Columns that an operator says it replaces or adds.
+SAID = {"quality": {"score"}, "mixing": {"block", "slot"}, "sharding": {"size", "text_crc32", "shard", "slot"}}
+
+
+@pytest.mark.parametrize("name", SAID)
+def test_other_columns_keep_their_values(spark, docs, name):
+    for r in apply(spark, name, docs).collect():
+        assert all(r[c] == f"own {c}" for c in CLASHES if c not in SAID[name])
+
+
+@pytest.mark.parametrize("name", ["mixing", "sharding"])
+def test_results_do_not_depend_on_partitions(spark, name):
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', cast(id % 97 AS int)) AS text", "concat('s', id % 7) AS source")
+    old, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 16, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(tuple, apply(spark, name, df.repartition(5)).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1] == got[2]
+
+
+def test_stages_with_odd_rows(spark, docs, tmp_path):
+    """Each stage by itself on nulls, ties, repeated rows, a long text and clashing columns."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    labels(spark, [(1, 0, 0), (4, 1, 0), (7, 1, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark(spark, [(1, "the same id with another text"), (2, "")]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages, every = dict(pipeline.STAGES), sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    got = {name: stage(spark, docs, str(tmp_path)) for name, stage in stages.items()}
+    for name, out in got.items():
+        said = SAID["sharding"] if name == "sharding" else set()
+        rows = out.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASHES if c not in said)
+        kept = sorted((r.doc_id or 0, r.text or "") for r in rows)
+        if name in ("mixing", "sharding"):
+            assert kept == every
+        if name == "decontamination":
+            assert kept == [r for r in every if "another text" not in r[1]]
+        if name == "near_dedup":  # 4, 5 and 5 are copies of one another: 4 stays, once
+            assert kept == [r for r in every if r[0] != 5 or "another" in r[1]]
+
+
+def test_repeated_rows_leave_the_near_dedup_once(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    text = "one text of more than five words"
+    rows = [(1, text, "a")] * 3 + [(2, text, "a"), (None, None, "a"), (None, "", "b"), (3, "", "b"), (3, "", "b")]
+    out = pipeline.distinct_documents(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.source) for r in out) == [(0, "", "a"), (0, "", "b"), (1, text, "a"), (3, "", "b")]
+
+
 def test_stages_keep_columns_and_rows(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     rows = [(k, f"document {k} has its own words {' '.join(f'{k}x{j}' for j in range(30))}", "en", f"s{k % 2}", 10) for k in range(12)] + [(None, None, None, None, None), (99, "", "en", "s1", 0)]

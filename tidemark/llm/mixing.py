@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import task_count, written
+from tidemark.llm._shared import fresh, task_count, written
 
 #: So many sources or groups are scheduled together, on average.
 GROUP = 10_000
@@ -123,17 +123,24 @@ def mix(df: DataFrame, weights: dict | None = None, power: float = 0.7, block_by
 
     Weights default to the given power of each source's bytes; sources without a weight get no
     slot (``slot`` null, not taken). A null source is a source; null and empty texts have size 1, as any text
-    its bytes plus 1. A document that is longer than a block covers several, and the blocks
-    that begin inside it are empty. Repeated rows are documents of their own.
+    its bytes plus 1. A very long document covers several blocks and goes whole in the slot of its
+    first; the blocks that begin inside it are empty. So a source is less than a block and its
+    longest document from its share. Repeated rows are documents of their own, in any order; ties
+    of the hash go by id, size and CRC. An empty table gives an empty one.
+
+    The order is that of a hash, whose first bits deal a source's rows into buckets, each sorted
+    by itself; the number of buckets changes the tasks, not the result.
     """
     spark = df.sparkSession
     df = df.drop("block", "slot", "place", "taken")
-    size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long") + 1
-    rank = F.xxhash64(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
-    n = task_count(spark)
-    keyed = df.withColumns({"_size": size, "_rank": rank, "_bucket": F.pmod(rank, F.lit(n)).cast("int"), "_s": _name(F.col(source_col))})
+    size, rank, crc, bucket, source, offset, first, slots, before = fresh(df, "size0", "rank0", "crc0", "bucket0", "source0", "offset0", "first0", "slots0", "before0")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    bits = max(4, (task_count(spark) - 1).bit_length())
+    keyed = df.withColumns({size: F.octet_length(text).cast("long") + 1, crc: F.crc32(text), source: _name(F.col(source_col))})
+    keyed = keyed.withColumn(rank, F.shiftrightunsigned(F.xxhash64(id_col, crc), 1))
+    keyed = keyed.withColumn(bucket, F.shiftrightunsigned(rank, 63 - bits).cast("int"))
     # written once: texts aren't read again for totals, offsets and blocks
-    parts = written(keyed.groupBy(F.col("_s").alias("name"), F.col("_bucket").alias("_b")).agg(F.sum("_size").alias("bytes")), "parts")
+    parts = written(keyed.groupBy(F.col(source).alias("name"), F.col(bucket).alias("b")).agg(F.sum(size).alias("bytes")), "parts")
     totals = parts.groupBy("name").agg(F.sum("bytes").alias("bytes"))
     if weights:
         given = [("" if k is None else f"={k}", float(w)) for k, w in weights.items() if w > 0]
@@ -141,28 +148,33 @@ def mix(df: DataFrame, weights: dict | None = None, power: float = 0.7, block_by
     else:
         wanted = totals.select("name", F.pow(F.greatest("bytes", F.lit(1)).cast("double"), F.lit(float(power))).alias("weight"))
     levels = _levels(wanted, period, group)
-    before = Window.partitionBy("name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("_o", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
-    first, last = F.expr(f"_o div {block_bytes}"), F.expr(f"(_o + bytes - 1) div {block_bytes}")
-    blocks = _slotted(offsets.select("name", "_b", "_o", first.alias("_first"), F.explode(F.sequence(first, last)).alias("block")), levels)
+    so_far = Window.partitionBy("name").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("o", F.coalesce(F.sum("bytes").over(so_far), F.lit(0)))
+    begin, last = F.expr(f"o div {block_bytes}"), F.expr(f"(o + bytes - 1) div {block_bytes}")
+    blocks = _slotted(offsets.select("name", "b", "o", begin.alias("first"), F.explode(F.sequence(begin, last)).alias("block")), levels)
     # the blocks that a bucket's rows begin in, by bucket: no more numbers than blocks and buckets
-    held = blocks.groupBy("name", "_b", "_o", "_first").agg(F.sort_array(F.collect_list(F.struct("block", "slot"))).alias("_slots"))
-    held = held.select("name", "_b", "_o", "_first", F.col("_slots.slot").alias("_slots"))
+    held = blocks.groupBy("name", "b", "o", "first").agg(F.sort_array(F.collect_list(F.struct("block", "slot"))).alias("slots"))
+    held = held.select(F.col("name").alias(source), F.col("b").alias(bucket), F.col("o").alias(offset), F.col("first").alias(first), F.col("slots.slot").alias(slots))
     end = _slotted(totals.select("name", F.expr(f"(bytes + {block_bytes - 1}) div {block_bytes}").alias("block")), levels).agg(F.min("slot")).first()[0] or 0
-    within = Window.partitionBy("_s", "_bucket").orderBy("_rank", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_p", F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    placed = placed.join(held.withColumnsRenamed({"name": "_s", "_b": "_bucket"}), ["_s", "_bucket"])
-    placed = placed.withColumn("place", F.col("_p") + F.col("_o")).withColumn("block", F.floor(F.col("place") / F.lit(block_bytes)))
-    out = placed.withColumn("slot", F.get("_slots", (F.col("block") - F.col("_first")).cast("int"))).withColumn("taken", F.coalesce(F.col("slot") < F.lit(end), F.lit(False)))
+    within = Window.partitionBy(source, bucket).orderBy(rank, id_col, size, crc).rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn(before, F.coalesce(F.sum(size).over(within), F.lit(0))).join(held, [source, bucket])
+    placed = placed.withColumn("place", F.col(before) + F.col(offset)).withColumn("block", F.floor(F.col("place") / F.lit(block_bytes)))
+    out = placed.withColumn("slot", F.get(slots, (F.col("block") - F.col(first)).cast("int"))).withColumn("taken", F.coalesce(F.col("slot") < F.lit(end), F.lit(False)))
     return out.select(*df.columns, "block", "slot", "place", "taken")
 
 
 def taken(df: DataFrame, **options) -> DataFrame:
-    """The documents of the mixture, with the columns of ``df``."""
+    """The documents of the mixture, with the columns of ``df``; those named like a column of
+    ``mix`` are replaced."""
     return mix(df, **options).where("taken").select(*df.columns)
 
 
 def mixture(df: DataFrame, **options) -> DataFrame:
     """All rows of ``df`` in the order of their slots. A source that has run out leaves its slots
-    unused, so the others go on at their relative weights; rows without a slot come last."""
-    return mix(df, **options).orderBy(F.col("slot").asc_nulls_last(), "place").select(*df.columns)
+    unused, so the others go on at their relative weights; rows without a slot come last. Columns
+    named like those of ``mix`` keep the values of ``df``."""
+    names = ["block", "slot", "place", "taken"]
+    aside = fresh(df, *(f"{c}_of_df" for c in names))
+    held = {c: a for c, a in zip(names, aside, strict=True) if c in df.columns}
+    mixed = mix(df.withColumnsRenamed(held), **options).orderBy(F.col("slot").asc_nulls_last(), "place")
+    return mixed.select(*(F.col(held.get(c, c)).alias(c) for c in df.columns))

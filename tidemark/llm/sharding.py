@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import task_count
+from tidemark.llm._shared import fresh, task_count
 
 
 @dataclass(frozen=True)
@@ -73,20 +73,24 @@ ADDED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 def shard_documents(df: DataFrame, tree: Node | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with ``size`` (UTF-8 bytes of the text plus 1; null: none), ``text_crc32``, ``law``
-    ('key'), ``shard``, ``slot`` (0, 1, ... within a shard, by hash bucket, then id, CRC and size)
-    and ``grown_shard`` (with one more shard). Columns of these names are replaced.
+    ('key'), ``shard``, ``slot`` (0, 1, ... within a shard, by a hash, then id, CRC and size)
+    and ``grown_shard`` (with one more shard). Columns of these names are replaced, all others
+    keep their values.
 
     The id and the tree decide the shard. Rows without an id go by their text's CRC. Repeated rows
-    share a shard and have slots of their own; an empty table gives an empty one.
+    share a shard and have slots of their own, in any order; texts may be of any length; an empty
+    table gives an empty one.
 
-    Slots are numbered in hash buckets, as many as there are shuffle partitions, in each shard;
-    the offsets of the buckets (shards x partitions rows, whatever the input) are broadcast.
+    The hash's first bits deal a shard's rows into buckets, numbered each by itself; their number
+    goes by the shuffle partitions and doesn't change the slots. The buckets' offsets (shards x
+    buckets rows, whatever the input) are broadcast.
     """
     tree = tree or balanced_tree()
+    bucket, rank, rows, offset, at = fresh(df, "bucket0", "rank0", "rows0", "offset0", "at0")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.crc32(text).cast("string")))
     leaves = _leaves(tree)
-    n = task_count(df.sparkSession)
+    bits = max(3, (task_count(df.sparkSession) - 1).bit_length())
     keyed = df.withColumns(
         {
             "size": F.octet_length(text).cast("long") + F.lit(1),
@@ -94,14 +98,15 @@ def shard_documents(df: DataFrame, tree: Node | None = None, id_col: str = "doc_
             "law": F.lit("key"),
             "shard": place(key, tree).cast("int"),
             "grown_shard": place(key, grown_tree(tree, max(leaves) + 1)).cast("int"),
-            "_bucket": F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(n)).cast("int"),
+            # the text has its part: copies of an id are dealt, unless their texts are equal too
+            rank: F.shiftrightunsigned(F.xxhash64(key, F.crc32(text), F.lit("slot")), 1),
         }
-    )
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_rows")).select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(id_col, "text_crc32", "size")
-    numbered = keyed.withColumn("_n", F.row_number().over(within))
-    return numbered.join(F.broadcast(offsets), ["shard", "_bucket"]).withColumn("slot", (F.col("_offset") + F.col("_n") - 1).cast("long")).select(*(c for c in df.columns if c not in ADDED), *ADDED)
+    ).withColumn(bucket, F.shiftrightunsigned(rank, 63 - bits).cast("int"))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(rows)).select("shard", bucket, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(offset))
+    within = Window.partitionBy("shard", bucket).orderBy(rank, id_col, "text_crc32", "size")
+    numbered = keyed.withColumn(at, F.row_number().over(within))
+    return numbered.join(F.broadcast(offsets), ["shard", bucket]).withColumn("slot", (F.col(offset) + F.col(at) - 1).cast("long")).select(*(c for c in df.columns if c not in ADDED), *ADDED)
 
 
 def _leaves(node: Node) -> list[int]:
