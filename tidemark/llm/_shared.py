@@ -76,12 +76,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 SPREAD = 32
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """``many`` with the columns of ``one``, which has a row a key. A key that many rows share is
-    dealt over SPREAD tasks by a hash of ``by``; the row of ``one`` goes to those it is needed in."""
+def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
+    """``many`` with the columns of ``one``, which has a row or few a key. A key that many rows
+    share is dealt over SPREAD tasks by a hash of ``by``; rows of ``one`` go to those they are needed in."""
+    keys = [key] if isinstance(key, str) else key
     salted = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
-    wanted = salted.select(key, "_salt").distinct().join(one, key)
-    return salted.join(wanted, [key, "_salt"], how).drop("_salt")
+    wanted = salted.select(*keys, "_salt").distinct().join(one, keys)
+    return salted.join(wanted, [*keys, "_salt"], how).drop("_salt")
 
 
 def task_count(spark: SparkSession) -> int:
