@@ -82,6 +82,21 @@ def test_passages_in_batches_with_compaction(spark):
     index.drop()
 
 
+def test_passages_with_hot_lines_and_repeated_rows(spark, monkeypatch):
+    """A line that many texts share amid their own words, and a passage of many: hot shingles are
+    dealt by span; rows that occur twice are one document."""
+    monkeypatch.setattr(passages, "HOT_ROWS", 20)
+    rng = random.Random(12)
+    words = [f"u{k}" for k in range(5000)]
+    text = lambda k: [rng.choice(words) for _ in range(k)]
+    line, passage = text(12), text(45)
+    rows = [(k, " ".join(text(rng.randint(5, 40)) + (passage if k % 5 == 0 else line) + text(rng.randint(5, 40)))) for k in range(400)]
+    twice = rows + rows[::7] + [(k, t) for k, t in rows[::7]]
+    got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in passages.remove_passages(frame(spark, twice).repartition(7)).collect()}
+    want = removed(rows)
+    assert got == {(i, *w) for i, w in want.items()} and sum(w[1] for w in want.values()) >= 79 * 45
+
+
 def classes(rows, size):
     low = {c: c + 32 for c in range(65, 91)}
     sets = {}

@@ -7,10 +7,15 @@ least shingles in equal places, so comparing runs under one shingle finds every
 for about eight windows. A run's row holds the shingle's hash and the hash of all words its
 windows cover.
 
+Copies weigh little: of equal rows of one Arrow batch only the first is merged. Shingles that very
+many rows have under different spans (a line that all texts share) are dealt by shingle and span
+instead of the shingle.
+
 The index is a list of immutable runs in Parquet files sorted by shingle hash. A batch writes a
 run of its own and is merge-joined with those before it; a second stage verifies the windows of
 shingles that appear under different spans, from the texts, with two independent 64-bit hashes.
-Many runs are compacted into one that holds the first row of each (shingle, span).
+Before a batch, more than ``fanout`` runs are compacted into one that holds the first row of
+each (shingle, span).
 """
 
 from __future__ import annotations
@@ -23,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import forget, new_path
+from tidemark.llm._shared import copy_of, forget, new_path
 from tidemark.llm.text_hash import sliding_min, span_hashes, text_bytes, window_hashes, word_hashes, words
 
 WINDOW = 20
 SHINGLE = 6
-RUN = "id long, copy int, start int, n int, h long, s long, again boolean"
-HIT = "id long, copy int, run int, start int, n int, first boolean"
+RUN = "id long, copy long, start int, n int, h long, s long, again boolean"
+HIT = "id long, copy long, run int, start int, n int, first boolean"
 #: A null id counts as the least.
 NO_ID = -(2**63)
 
@@ -72,7 +77,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not rows:
             continue
         row, start, n, h, s = map(np.concatenate, (rows, starts, counts, shingles, spans))
-        ids, copies = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+        ids, copies = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row].astype(np.int64)
         order = np.lexsort((start, copies, ids, s, h))
         row, start, n, h, s, ids, copies = (x[order] for x in (row, start, n, h, s, ids, copies))
         again = np.concatenate([[False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])])
@@ -81,16 +86,27 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(copies[keep]), pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), _int64(h[keep]), _int64(s[keep]), pa.array(again[keep])], [c.split()[0] for c in RUN.split(", ")])
 
 
+def _distinct(columns: list[np.ndarray], last: list | None) -> tuple[list[np.ndarray], list]:
+    """Sorted columns without rows that repeat the row before (a repeated row of the table is the
+    same document), and the last row; ``last`` is that of the batch before."""
+    same = np.ones(len(columns[0]), bool)
+    for k, c in enumerate(columns):
+        same &= np.concatenate([[last is not None and last[k] == c[0]], c[1:] == c[:-1]])
+    return [c[~same] for c in columns], [c[-1] for c in columns]
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (id, copy, run, start, n, key, sub) sorted by key, sub and order of appearance:
     with ``first`` false those that repeat an earlier row's key and sub, and with ``first`` true
     the first of each sub if its key has several. Holds one row besides the batch."""
     names = [c.split()[0] for c in HIT.split(", ")]
-    last = pending = None  # of the key before: (key, sub), and its first row if it has one sub so far
+    last = pending = row = None  # of the key before: (key, sub), and its first row if it has one sub so far
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [c.to_numpy() for c in batch.columns]
+        columns, row = _distinct([c.to_numpy() for c in batch.columns], row)
+        if not len(columns[0]):
+            continue
         if pending is not None:
             columns = [np.concatenate([p, c]) for p, c in zip(pending, columns, strict=True)]
         key, sub = columns[5], columns[6]
@@ -114,21 +130,80 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c[out]) for c in columns[:5]), pa.array(first[out])], names)
 
 
+#: Rows of windows looked through together for copies.
+_HELD = 1 << 20
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the given runs of a text, by two hashes."""
+    """Each window of the given runs of a text, by two hashes. ``again``: an earlier one of those
+    held together has the same."""
+
+    def flushed(held: list[tuple]) -> pa.RecordBatch:
+        ids, copies, runs, start, one, two = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((start, copies, ids, runs, two, one))
+        ids, copies, runs, start, one, two = (c[order] for c in (ids, copies, runs, start, one, two))
+        (one, two, runs, ids, copies, start), _ = _distinct([one, two, runs, ids, copies, start], None)
+        again = np.concatenate([[False], (one[1:] == one[:-1]) & (two[1:] == two[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(copies), pa.array(runs), pa.array(start), pa.array(np.ones(len(ids), np.int32)), _int64(one), _int64(two), pa.array(again)], ["id", "copy", "run", "start", "n", "key", "sub", "again"])
+
+    held, rows = [], 0
     for batch in batches:
         for i in range(batch.num_rows):
             h = word_hashes(text_bytes(batch.column(3)[i]))
             at = np.array(batch.column(4)[i].values.field("start")), np.array(batch.column(4)[i].values.field("n"))
             start = np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(*at, strict=True)]))
             one, two = window_hashes(h, WINDOW)[start], window_hashes(h, WINDOW, other=True)[start]
-            same = lambda c, k: pa.array(np.full(len(start), batch.column(c)[i].as_py()), k)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([same(0, pa.int64()), same(1, pa.int32()), same(2, pa.int32()), pa.array(start.astype(np.int32)), pa.array(np.ones(len(start), np.int32)), _int64(one), _int64(two)], ["id", "copy", "run", "start", "n", "key", "sub"])
+            held.append((*(np.full(len(start), batch.column(c)[i].as_py(), t) for c, t in ((0, np.int64), (1, np.int64), (2, np.int32))), start.astype(np.int32), one, two))
+            rows += len(start)
+            if rows >= _HELD:
+                yield flushed(held)
+                held, rows = [], 0
+    if held:
+        yield flushed(held)
+
+
+_ORDER = ["key", "sub", "run", "id", "copy", "start"]
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    ordered = rows.repartition("key").sortWithinPartitions("key", "sub", "run", "id", "copy", "start")
-    return ordered.mapInArrow(_repeats, HIT)
+    return rows.repartition("key").sortWithinPartitions(*_ORDER).mapInArrow(_repeats, HIT)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``_ORDER`` with ``again``: whether the row before has the same key and sub."""
+    last = row = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns, row = _distinct([c.to_numpy() for c in batch.columns], row)
+        key, sub = columns[5:]
+        if not len(key):
+            continue
+        again = np.concatenate([[last == (key[0], sub[0])], (key[1:] == key[:-1]) & (sub[1:] == sub[:-1])])
+        last = key[-1], sub[-1]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:6]), pa.array(again)], ["id", "copy", "run", "start", "n", "key", "again"])
+
+
+#: Keys taken as hot: the most frequent, by a sketch, of at least so many rows. What they are
+#: changes the tasks, not the result.
+HOT_KEYS, HOT_ROWS = 500, 2000
+
+
+def _hot(rows: DataFrame) -> list[int]:
+    row = rows.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {HOT_KEYS * 20})").alias("top")).first()
+    return sorted(x["item"] for x in row.top or [] if x["item"] is not None and x["count"] >= HOT_ROWS)
+
+
+def _merged_spread(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """As ``_merged``, with the rows of hot keys dealt by key and sub."""
+    if not hot:
+        return _merged(rows)
+    is_hot = F.col("key").isin(hot)
+    some = rows.where(is_hot)
+    folded = some.repartition("key", "sub").sortWithinPartitions(*_ORDER).mapInArrow(_folded, "id long, copy long, run int, start int, n int, key long, again boolean")
+    several = some.groupBy("key").agg((F.min("sub") < F.max("sub")).alias("several"))  # a row a hot key
+    folded = folded.join(F.broadcast(several), "key").where("again OR several")
+    return _merged(rows.where(~is_hot)).unionByName(folded.select("id", "copy", "run", "start", "n", (~F.col("again")).alias("first")))
 
 
 class PassageIndex:
@@ -151,13 +226,16 @@ class PassageIndex:
         """Write the batch's run and return (id, copy, start, n) of its windows that repeat one
         of an earlier run or an earlier one of the batch: windows start .. start + n - 1.
         Both frames have (id, copy, text); ``texts`` holds every batch so far."""
+        if len(self.runs) > self.fanout:
+            self.compact()
         number, path = self.batches, f"{self.folder}/run-{self.batches}"
         batch.mapInArrow(_spans, RUN).sortWithinPartitions("h", "s").write.parquet(path)
         self.batches += 1
         self.runs.append((number, path))
         rows = self._read(self.runs)
         known = rows.where(F.col("again") & (F.col("run") == number)).select("id", "copy", "start", "n")
-        merged = _merged(rows.where(~F.col("again")).select("id", "copy", "run", "start", "n", F.col("h").alias("key"), F.col("s").alias("sub")))
+        new = rows.where(~F.col("again")).select("id", "copy", "run", "start", "n", F.col("h").alias("key"), F.col("s").alias("sub"))
+        merged = _merged_spread(new, _hot(new))
         # what is asked twice of one plan is worked out once: the hits are small beside the runs
         folder = f"{self.folder}/hits-{number}"
         merged.write.parquet(folder)
@@ -165,11 +243,12 @@ class PassageIndex:
         spans = hits.where(~F.col("first") & (F.col("run") == number)).select("id", "copy", "start", "n")
         open_runs = hits.where("first").groupBy("id", "copy", "run").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
         found = texts.join(open_runs, ["id", "copy"]).select("id", "copy", "run", "text", "spans")
-        windows = _merged(found.mapInArrow(_windows, "id long, copy int, run int, start int, n int, key long, sub long"))
-        exact = windows.where(~F.col("first") & (F.col("run") == number)).select("id", "copy", "start", "n")
-        if len(self.runs) > self.fanout:
-            self.compact()
-        return known.unionByName(spans).unionByName(exact)
+        folder = f"{self.folder}/windows-{number}"
+        found.mapInArrow(_windows, "id long, copy long, run int, start int, n int, key long, sub long, again boolean").write.parquet(folder)
+        windows = self.spark.read.schema("id long, copy long, run int, start int, n int, key long, sub long, again boolean").parquet(folder)
+        exact = _merged(windows.where("NOT again").drop("again")).where(~F.col("first") & (F.col("run") == number)).select("id", "copy", "start", "n")
+        copied = windows.where(F.col("again") & (F.col("run") == number)).select("id", "copy", "start", "n")
+        return known.unionByName(spans).unionByName(exact).unionByName(copied)
 
     def compact(self) -> None:
         """One run for all so far, with the first row of each shingle and span. The old files go
@@ -204,25 +283,24 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([c.decode() for c in columns[2]], pa.string()), pa.array([hashlib.sha256(c).hexdigest() for c in columns[2]], pa.string())], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
 
-def _keys(id_col: str, text_col: str, repeated: bool) -> list[Column]:
+def _keys(id_col: str, text_col: str) -> list[Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    copy = F.hash(text) if repeated else F.lit(0)
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), copy.alias("copy"), text.alias("text")]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), copy_of(text_col).alias("copy"), text.alias("text")]
 
 
-def remove_passages(df: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_passages(df: DataFrame, batches: int = 3, fanout: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept, kept_sha256: a row for each row, ingested in ``batches``
-    ranges of the id, in ascending order.
+    ranges of the id, in ascending order, each as large as those before it together.
 
     Null texts, empty ones and those of fewer than WINDOW words lose nothing. A null id is the
     least id. Rows of one id with other texts are documents in the order of a hash of the text;
-    a row that repeats id and text is the same document again and gets the same result.
+    a row that repeats id and text is the same document again and gets the same result. Very
+    long texts are read whole; an empty table gives an empty one; other columns aren't read.
     """
-    repeated = bool(df.groupBy(id_col).count().where("count > 1").limit(1).collect())
-    texts = df.select(*_keys(id_col, text_col, repeated))
-    bounds = [b for b in (df.stat.approxQuantile(id_col, [k / batches for k in range(1, batches)], 0.01) if batches > 1 else [])]
+    texts = df.select(*_keys(id_col, text_col))
+    bounds = df.stat.approxQuantile(id_col, [0.5 ** (batches - k) for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted({int(b) for b in bounds}), None]
-    index, found = PassageIndex(df.sparkSession), []
+    index, found = PassageIndex(df.sparkSession, fanout=fanout), []
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         part = texts.where(F.lit(True) if low is None else F.col("id") > low).where(F.lit(True) if high is None else F.col("id") <= high)
         found.append(index.ingest(part, texts))
