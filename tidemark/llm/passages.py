@@ -302,8 +302,8 @@ def remove_passages(df: DataFrame, batches: int = 3, fanout: int = 1, id_col: st
     edges = [None, *sorted({int(b) for b in bounds}), None]
     index, found = PassageIndex(df.sparkSession, fanout=fanout), []
     for low, high in zip(edges[:-1], edges[1:], strict=True):
-        part = texts.where(F.lit(True) if low is None else F.col("id") > low).where(F.lit(True) if high is None else F.col("id") <= high)
-        found.append(index.ingest(part, texts))
+        so_far = texts.where(F.lit(True) if high is None else F.col("id") <= high)
+        found.append(index.ingest(so_far.where(F.lit(True) if low is None else F.col("id") > low), so_far))
     spans = found[0]
     for f in found[1:]:
         spans = spans.unionByName(f)
