@@ -291,10 +291,46 @@ def test_personal_data(spark):
 
 def test_labelers_are_weighed():
     counts = [((4, 1, 1, 1, 2), 40), ((4, 0, 0, -1, 2), 60), ((4, 1, 0, -1, 2), 5)]
-    p = pii.estimate(counts)
+    p, _ = pii.estimate(counts)
     assert p[4, 1, 1, 1] > 0.9 and p[4, 0, 0, -1] < 0.1
     weights = pii.train_classifier(counts, p)
-    assert pii._accepted(counts, weights, 0.8) == [(4, 1, 1, 1, 2)] and pii.estimate([]) == {}
+    assert pii._accepted(counts, weights, 0.8) == [(4, 1, 1, 1, 2)] and pii.estimate([]) == ({}, {})
+
+
+def test_reliabilities_are_recovered():
+    """Votes drawn from known reliabilities: the estimates come near them, and the classes stay apart."""
+    rng = random.Random(2)
+    rates = [({-1: 0.0, 0: 0.1, 1: 0.9}, {-1: 0.0, 0: 0.7, 1: 0.3}), ({-1: 0.2, 0: 0.1, 1: 0.7}, {-1: 0.2, 0: 0.7, 1: 0.1}), ({-1: 0.4, 0: 0.0, 1: 0.6}, {-1: 0.95, 0: 0.0, 1: 0.05})]
+    seen = collections.Counter()
+    for _ in range(30_000):
+        own = 0 if rng.random() < 0.35 else 1
+        seen[(7, *(rng.choices(pii.VOTES, [r[own][v] for v in pii.VOTES])[0] for r in rates), 2)] += 1
+    share, got = pii.estimate(list(seen.items()))[1][7]
+    assert abs(share - 0.35) < 0.03
+    assert all(abs(got[j][c][v] - rates[j][c][v]) < 0.03 for j in range(3) for c in (0, 1) for v in pii.VOTES)
+
+
+def test_added_spans(spark):
+    """Planted spans of the further kinds are added, look-alikes without signs of them aren't."""
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    good = [
+        lambda: ("secret", hexes(40), 'token = "'),
+        lambda: ("secret", "ghp_" + hexes(36), "api key: "),
+        lambda: ("local_phone", f"({rng.randint(2, 9)}12) 555-{rng.randint(1000, 9999)}", "call "),
+        lambda: ("iban", "DE89 3704 0044 0532 0130 00", "our bank account "),
+        lambda: ("person", f"Dr. {rng.choice(pii.GIVEN_NAMES)} Smith", "a letter from "),
+    ]
+    bad = [lambda: ("local_phone", f"1{rng.randint(10, 99)}-1{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "size "), lambda: ("iban", f"ZZ{rng.randint(10, 99)}{rng.randint(10**15, 10**16 - 1)}", "part "), lambda: ("secret", "a" * 30 + "1", "see ")]
+    rows, want = [], {}
+    for k in range(400):
+        kind, span, before = (good if k % 2 else bad)[rng.randrange(5 if k % 2 else 3)]()
+        text = f"some words {before}"
+        rows.append((k, f"{text}{span} and so on"))
+        want[k] = f"{kind}:{len(text)}:{len(text) + len(span)}"
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    assert [k for k in range(0, 400, 2) if want[k] in got[k].split(",")] == []
+    assert sum(want[k] in got[k].split(",") for k in range(1, 400, 2)) == 200
 
 
 def test_quality_on_held_out_rows(spark):
