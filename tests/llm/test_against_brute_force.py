@@ -500,6 +500,72 @@ def test_licenses(spark):
     assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "header"), 4: ("GPL-3.0", "file"), 5: ("GPL-3.0", "inherited"), 6: (None, "none"), 7: (None, "none"), 8: (None, "none")}
 
 
+def test_licence_cosines_and_inheritance(spark):
+    """Whole texts, with their counts, and lines against plain cosines; folders against a walk upwards."""
+    rng = random.Random(14)
+    pool = ["license", "mit", "permission", "granted", "software", "copyright", "words", "other", "v2.0", *(f"t{k}" for k in range(50))]
+    rows = []
+    for k in range(250):
+        parts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 4))]
+        if k % 5 == 0:
+            parts.append(rng.choice([x for xs in licenses.TEMPLATES.values() for x in xs]))
+        if k % 9 == 0:
+            parts = [rng.choice(list(licenses.FULL.values()))]
+        if bare := k % 13 == 0:
+            parts = []
+        folder = "/".join(["bare" if bare else "top", *(rng.choice("ab") for _ in range(rng.randint(0, 4)))])
+        rows.append((k, "\n".join(parts), f"{folder}/{'LICENSE' if k % 11 == 0 else f'{k}.txt'}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    out = {r.doc_id: r for r in licenses.scan_licenses(df, df["path"]).collect()}
+    terms = lambda t: re.findall(licenses.TERM, t.lower())
+    held = collections.Counter(t for _, x, _ in rows for t in set(terms(x)))
+    vocabulary = {t for xs in [*licenses.TEMPLATES.values(), list(licenses.FULL.values())] for x in xs for t in terms(x)}
+    idf = lambda t: np.log((1 + len(rows)) / (1 + (held[t] if t in vocabulary else 0))) + 1
+
+    def vector(text):
+        w = {t: n * idf(t) for t, n in collections.Counter(terms(text)).items()}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    def cosine(a, b):
+        a, b = vector(a), vector(b)
+        return sum(x * b.get(t, 0.0) for t, x in a.items())
+
+    lines = [x for xs in licenses.TEMPLATES.values() for x in xs]
+    for k, text, _ in rows:
+        if not re.search(licenses.CUE, text):
+            assert out[k].similarity == 0
+            continue
+        whole = max(cosine(text, x) for x in lines + list(licenses.FULL.values()))
+        best = max([whole, *(cosine(line, x) for line in text.split("\n") if re.search(licenses.CUE, line) for x in lines)])
+        # windows within a text may be nearer still
+        assert out[k].similarity >= round(best, 6) - 2e-6 and (out[k].origin == "file" or whole < 0.7)
+    files = collections.defaultdict(collections.Counter)
+    for k, _, path in rows:
+        if out[k].origin == "file":
+            files[path.rsplit("/", 1)[0]][out[k].license] += 1
+    for k, _, path in rows:
+        if out[k].origin in ("inherited", "none"):
+            at = path.rsplit("/", 1)[0].split("/")
+            above = [("/".join(at[:n])) for n in range(len(at), -1, -1)]
+            found = next((files[f] for f in above if f in files), None)
+            assert out[k].license == (min(found, key=lambda x: (-found[x], x)) if found else None)
+    assert {r.origin for r in out.values()} == {"file", "header", "inherited", "none"}
+
+
+def test_licence_scan_of_a_long_text(spark):
+    """Time grows with the length of a text, not with its square."""
+    import time
+
+    seconds = []
+    for n in (20_000, 160_000):
+        df = spark.createDataFrame([(1, "license " + " ".join(f"t{k}" for k in range(n)), "a/b.txt")], "doc_id long, text string, path string")
+        began = time.perf_counter()
+        assert licenses.scan_licenses(df, df["path"]).first().license is None
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 8 * seconds[0] + 5
+
+
 def test_licenses_in_their_common_forms(spark):
     """Wrapped notices behind comment marks, a complete licence file, identifiers, notices in prose."""
     mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint x;"

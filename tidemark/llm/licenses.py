@@ -43,6 +43,12 @@ FULL = {
     "MIT": """MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
+FULL |= {
+    "BSD-2-Clause": FULL["BSD-3-Clause"].replace(FULL["BSD-3-Clause"][FULL["BSD-3-Clause"].index(" 3. Neither") : FULL["BSD-3-Clause"].index(" THIS SOFTWARE")], ""),
+    "ISC": """ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to unlicense.org""",
+}
 #: Words that name a licence: words amid others count as a template's notice only with those of them that it has.
 NAMING = {"mit", "apache", "gnu", "mozilla", "cc", "nc", "creative", "noncommercial", "reserved"}
 CUE_TERM = r"^(?:licen[cs]e[ds]?|copyright|rights|permission|redistribut[a-z]*)$"
@@ -88,21 +94,38 @@ def _map(weights: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for t in sorted(weights) for x in (t, weights[t]))) if weights else F.expr("cast(map() AS map<string,double>)")
 
 
+def _norm(ts: Column, idf: Column, rare: float, vocabulary: list[str]) -> Column:
+    """The length of the text's vector. Equal terms are neighbours once sorted, so their counts
+    come from one pass: the square of a count grows by 2 n + 1 with the next of the same."""
+    weight = lambda t: F.when(t.isin(vocabulary), F.coalesce(F.try_element_at(idf, t), F.lit(rare))).otherwise(F.lit(rare))
+
+    def step(a: Column, t: Column) -> Column:
+        n = F.when(a["t"] == t, a["n"] + 1).otherwise(F.lit(0))
+        w = weight(t)
+        return F.struct(t.alias("t"), n.alias("n"), (a["s"] + w * w * (2 * n + 1)).alias("s"))
+
+    zero = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+    return F.sqrt(F.aggregate(F.sort_array(ts), zero, step, lambda a: a["s"]))
+
+
 def _best(text: Column, found: dict[str, int], n: int, full: bool = False) -> Column:
-    """(similarity, license) of the nearest template; of equal ones the last by name."""
-    idf = {t: _idf(df, n) for t, df in found.items()}
+    """(similarity, license) of the nearest template; of equal ones the last by name. Terms are
+    sorted once; only those that a template has are looked up."""
     rare = _idf(0, n)
-    weights = _map(idf)
-    weigh = lambda ts: F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("t"), (F.size(F.filter(ts, lambda x: x == t)) * F.coalesce(F.try_element_at(weights, t), F.lit(rare))).alias("w")))
     lines = [(name, x) for name, xs in TEMPLATES.items() for x in xs] + (list(FULL.items()) if full else [])
+    idf = {t: _idf(df, n) for t, df in found.items()}
+    vocabulary = sorted({t for _, x in lines for t in _template_terms(x)} | set(idf))
+    weights = _map(idf)
     options = [(name, _map(_template_weights(x, idf, rare))) for name, x in lines]
 
-    def scored(v: Column) -> Column:
-        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-        dot = lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(m, x["t"]), F.lit(0.0)))
-        return F.array_max(F.array(*(F.struct(F.when(length > 0, F.round(dot(m) / length, 6)).otherwise(F.lit(0.0)).alias("similarity"), F.lit(name).alias("license")) for name, m in options)))
+    def scored(ts: Column) -> Column:
+        # one entry an occurrence: a term's weight in the text grows by its idf with each
+        known = F.transform(F.filter(ts, lambda t: t.isin(vocabulary)), lambda t: F.struct(t.alias("t"), F.coalesce(F.try_element_at(weights, t), F.lit(rare)).alias("i")))
+        dot = lambda ks, m: F.aggregate(ks, F.lit(0.0), lambda a, x: a + x["i"] * F.coalesce(F.try_element_at(m, x["t"]), F.lit(0.0)))
+        best = lambda ks, length: F.array_max(F.array(*(F.struct(F.when(length > 0, F.round(dot(ks, m) / length, 6)).otherwise(F.lit(0.0)).alias("similarity"), F.lit(name).alias("license")) for name, m in options)))
+        return bind(F.struct(known.alias("known"), _norm(ts, weights, rare, vocabulary).alias("length")), lambda x: best(x["known"], x["length"]))
 
-    return bind(_terms(text), lambda ts: bind(weigh(ts), scored))
+    return bind(_terms(text), scored)
 
 
 def _best_window(text: Column, found: dict[str, int], n: int, names: list[str]) -> Column:
@@ -149,9 +172,11 @@ def scan_licenses(df: DataFrame, path: Column, threshold: float = 0.7, id_col: s
     for each row, ``path`` being a column expression with '/' between directories.
 
     An SPDX identifier counts before a text's other headers, and "all rights reserved" amid other
-    words only where there is no other licence. A text's own header or licence file counts before a directory's. In a directory the licence
+    words only where there is no other licence. Of texts of any length each term is read once, sorted,
+    whatever the number of distinct ones. A text's own header or licence file counts before a directory's. In a directory the licence
     of most files counts, of equal ones the first by name. Null and empty texts have no header
-    but inherit; a null path is a file in no directory. Repeated rows stay.
+    but inherit; a null path is a file in no directory. Repeated rows stay; an empty table
+    gives an empty one; other columns aren't read.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found, n = document_frequencies(docs)

@@ -39,7 +39,7 @@ MORE = {
 MORE["secret"] = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{20,}+"
 KINDS = [*BASE, *MORE]
 #: What a text must hold for a pattern to be tried.
-_NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "local_phone": r"[0-9]{3}[-.\x20]", "ssn": r"[0-9]-[0-9]", "iban": r"[A-Z]{2}[0-9]", "person": r"\x20\p{Lu}", "secret": r"[A-Za-z0-9_+/-]{20}"}
+_NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "local_phone": r"[0-9]{3}[-.\x20]", "ssn": r"[0-9]-[0-9]", "iban": r"[A-Z]{2}[0-9]", "person": r"\x20\p{Lu}", "secret": r"[0-9]"}
 #: Words that a kind's spans follow.
 CUES = {
     "email": "mail|contact|write|reach|schreib|escrib|écri",

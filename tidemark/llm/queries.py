@@ -32,8 +32,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: each document gets one by rule, in folders up to four deep, every
+    fiftieth named as a licence file is."""
     documents = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") % 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    digit = lambda at: F.concat(F.lit("d"), F.floor(F.col("doc_id") / at) % 10)
+    folders = F.array("source", "lang", digit(50), digit(500))
+    file = F.when(F.col("doc_id") % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.slice(folders, 1, (F.col("doc_id") % 4 + 1).cast("int")), file)
     return licenses.scan_licenses(documents, path)
 
 
