@@ -131,7 +131,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Rows of windows looked through together for copies.
-_HELD = 1 << 20
+_HELD = 1 << 17
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +288,9 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), copy_of(text_col).alias("copy"), text.alias("text")]
 
 
-def remove_passages(df: DataFrame, batches: int = 3, fanout: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_passages(df: DataFrame, batches: int = 3, fanout: int = 1, share: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept, kept_sha256: a row for each row, ingested in ``batches``
-    ranges of the id, in ascending order, each as large as those before it together.
+    ranges of the id, in ascending order, about ``share`` of the rows in each but the last.
 
     Null texts, empty ones and those of fewer than WINDOW words lose nothing. A null id is the
     least id. Rows of one id with other texts are documents in the order of a hash of the text;
@@ -298,7 +298,7 @@ def remove_passages(df: DataFrame, batches: int = 3, fanout: int = 1, id_col: st
     long texts are read whole; an empty table gives an empty one; other columns aren't read.
     """
     texts = df.select(*_keys(id_col, text_col))
-    bounds = df.stat.approxQuantile(id_col, [0.5 ** (batches - k) for k in range(1, batches)], 0.01) if batches > 1 else []
+    bounds = df.stat.approxQuantile(id_col, [share * k for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted({int(b) for b in bounds}), None]
     index, found = PassageIndex(df.sparkSession, fanout=fanout), []
     for low, high in zip(edges[:-1], edges[1:], strict=True):
