@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import bind, written
+from tidemark.llm._shared import bind, spread_join, written
 
 # Notices and opening words of well-known licences.
 TEMPLATES = {
@@ -203,7 +203,7 @@ def scan_licenses(df: DataFrame, path: Column, threshold: float = 0.7, id_col: s
     folders = marked.select("folder").distinct().withColumn("parts", F.split("folder", "/"))
     above = folders.select("folder", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("k"), "parts").select("folder", "k", F.array_join(F.slice("parts", 1, F.col("k")), "/").alias("above"))
     nearest = above.join(of_folder, "above").groupBy("folder").agg(F.max(F.struct("k", "of_above")).alias("m")).select("folder", F.col("m.of_above").alias("inherited"))
-    joined = marked.join(nearest, "folder", "left")
+    joined = spread_join(marked, nearest, "folder", "path", "left")
     has = F.col("own.similarity") >= threshold
     return joined.select(
         "doc_id",
