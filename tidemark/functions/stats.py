@@ -43,8 +43,24 @@ def expected_max_sharpe(trials: int, variance: float) -> float:
     return math.sqrt(variance) * ((1 - EULER_GAMMA) * z(1 - 1 / trials) + EULER_GAMMA * z(1 - 1 / (trials * math.e)))
 
 
+def deflated_z(found: DataFrame, trials: int, variance: float | Column) -> DataFrame:
+    """``moments`` rows with sr, sr0 (expected of the best of the trials) and z, how many
+    deviations of its estimate the Sharpe ratio is beyond it; null without a deviation."""
+    variance = F.lit(float(variance)) if isinstance(variance, (int, float)) else variance
+    ratio = F.when(F.col("sd") > 0, F.col("mean") / F.col("sd"))
+    with_ratio = found.withColumn("sr", ratio).withColumn("sr0", F.sqrt(variance) * F.lit(expected_max_sharpe(trials, 1.0)))
+    spread = 1 - F.col("skew") * F.col("sr") + (F.col("kurt") - 1) / 4 * F.col("sr") * F.col("sr")
+    return with_ratio.withColumn("z", (F.col("sr") - F.col("sr0")) * F.sqrt(F.col("n") - 1) / F.sqrt(F.when(spread > 0, spread)))
+
+
 def deflated_sharpe(n: int, mean: float, sd: float, skew: float, kurt: float, trials: int, variance: float) -> float:
     """Probability that the per-period Sharpe ratio beats the best of the trials by luck."""
     ratio = mean / sd
     spread = math.sqrt(1 - skew * ratio + (kurt - 1) / 4 * ratio**2)
     return NormalDist().cdf((ratio - expected_max_sharpe(trials, variance)) * math.sqrt(n - 1) / spread)
+
+
+def deflated_sharpe_of(found: DataFrame, trials: int, variance: float | None) -> float:
+    """``deflated_sharpe`` of a row of ``moments``; NaN where it isn't defined."""
+    row = None if variance is None else deflated_z(found, trials, variance).first()
+    return math.nan if row is None or row.z is None else NormalDist().cdf(row.z)

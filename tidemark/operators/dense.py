@@ -75,30 +75,33 @@ class EmbeddingCache:
         except AnalysisException:
             return None
 
-    def embed(self, rows: DataFrame, model_id: str, fill: bool = False) -> DataFrame:
-        """``rows`` with ``embedding``. A year without a cache is embedded, each headline once;
-        a cached year that lacks headlines is an error, or with ``fill`` is completed."""
-        years = [r[0] for r in rows.select(F.year("signal_date")).distinct().orderBy(F.year("signal_date")).collect()]
-        parts = []
-        for year in years:
-            own = rows.where(F.year("signal_date") == year)
-            texts = own.select("headline").distinct()
-            cache = self._read(model_id, year)
+    def vectors(self, rows: DataFrame, model_id: str, fill: bool = False) -> DataFrame:
+        """year, headline, embedding of the rows' years. A year without a cache is embedded, each
+        headline once; a cached year that lacks headlines is an error, or with ``fill`` is completed."""
+        dated = rows.select(F.year("signal_date").alias("year"), "headline").distinct()
+        out = self.spark.createDataFrame([], "year int, headline string, embedding array<float>")
+        for (year,) in dated.select("year").distinct().orderBy("year").collect():  # a row a year
+            texts, cache = dated.where(F.col("year") == year), self._read(model_id, year)
             lacking = texts if cache is None else texts.join(cache, "headline", "left_anti")
             if cache is not None and not fill and lacking.limit(1).count():
                 raise ValueError(f"the embedding cache of {model_id}, {year} lacks headlines; delete it and run again")
             if cache is None or fill:
-                fresh = lacking.withColumn("year", F.lit(year)).mapInPandas(_runner(self.factory, model_id, self.protocol.embed_batch), "year int, headline string, vector array<float>")
+                fresh = lacking.mapInPandas(_runner(self.factory, model_id, self.protocol.embed_batch), "year int, headline string, vector array<float>")
                 fresh.drop("year").write.mode("append").parquet(f"{self.path}/{model_id.replace('/', '__')}/{year}")
                 cache = self._read(model_id, year)
-            parts.append(own.join(cache.withColumnRenamed("vector", "embedding"), "headline").select(*rows.columns, "embedding"))
-        if not parts:
-            return rows.withColumn("embedding", F.expr("cast(array() AS array<float>)"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+            out = out.unionByName(cache.select(F.lit(year).alias("year"), "headline", F.col("vector").alias("embedding")))
         return out
 
+    def embed(self, rows: DataFrame, model_id: str, fill: bool = False) -> DataFrame:
+        """``rows`` with ``embedding``."""
+        return with_vectors(rows, self.vectors(rows, model_id, fill))
+
+
+def with_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``rows`` with the embedding of their year and headline; those without one drop out."""
+    found = vectors.withColumnsRenamed({"year": "_year", "headline": "_headline"})
+    return rows.join(found, (F.year(rows["signal_date"]) == found["_year"]) & (rows["headline"] == found["_headline"])).select(*rows.columns, "embedding")
+
 
 def moments_of(train: DataFrame, column: str) -> DataFrame:
     """place, mean, scale (population deviation, 1 where it is 0): a row a feature."""

@@ -15,7 +15,7 @@ from tidemark.functions.text import polarity, tokens
 from tidemark.operators import dense, tfidf
 from tidemark.operators.evaluate import daily_ic, long_short
 from tidemark.operators.sampling import shuffle_labels
-from tidemark.operators.splits import Split, select_years
+from tidemark.operators.splits import Split, select_years, years_needed
 from tidemark.protocol import Protocol
 
 #: (train, frames to score, params, test year) -> the frames with a ``features`` vector, train first.
@@ -46,29 +46,61 @@ def tfidf_featurizer(protocol: Protocol = Protocol()) -> Featurize:
     return run
 
 
-def dense_featurizer(cache: dense.EmbeddingCache, protocol: Protocol = Protocol()) -> Featurize:
-    """Embeddings of the version before the test year, standardised by the training rows."""
+def dense_featurizer(cache: dense.EmbeddingCache, panel: DataFrame, protocol: Protocol = Protocol()) -> Featurize:
+    """Embeddings of the version before the test year, standardised by the training rows. A test
+    year's block, the rows of ``panel`` in the years that it needs, is embedded once; a row
+    outside the block is an error, as is a cache that doesn't hold all of it."""
+    blocks: dict[int, DataFrame] = {}
+
+    def block(test_year: int) -> DataFrame:
+        if test_year not in blocks:
+            years = list(years_needed(protocol)[test_year])
+            if test_year == protocol.holdout_start.year:  # the holdout's own rows besides those learned from
+                years += range(protocol.holdout_start.year, protocol.holdout_end.year + 1)
+            own = panel.where(F.year("signal_date").isin(years))
+            blocks[test_year] = cache.vectors(own, dense.vintage_for(test_year, protocol))
+        return blocks[test_year]
 
     def run(train: DataFrame, others: list[DataFrame], params: dict, test_year: int) -> list[DataFrame]:
-        version = dense.vintage_for(test_year, protocol)
-        embedded = [cache.embed(f, version, fill=True) for f in (train, *others)]
+        vectors = block(test_year)
+        for f in (train, *others):
+            wanted = f.select(F.year("signal_date").alias("year"), "headline").distinct()
+            if wanted.join(vectors, ["year", "headline"], "left_anti").limit(1).count():
+                raise ValueError(f"rows outside the block of {test_year}")
+        embedded = [dense.with_vectors(f, vectors) for f in (train, *others)]
         return dense.standardise(embedded[0], embedded[1:], "embedding")
 
     return run
 
 
-def fit_predict(featurize: Featurize, train: DataFrame, others: list[DataFrame], params: dict, test_year: int) -> list[DataFrame]:
-    """The other frames with p, the probability of label 1. The penalty is 1 / (2 C) times the
-    squared length of the weights beside the summed loss; one class alone is an error."""
-    first, *rest = featurize(train, others, params, test_year)
+def _fitted(first: DataFrame, others: list[DataFrame], grid: Sequence[dict]) -> list[list[DataFrame]]:
+    """For each configuration, the other frames with p; all frames have their features."""
     first = first.withColumn("label", F.col("y").cast("double")).cache()
     got = first.agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).first()
     if not got.n or got.a == got.b:
         raise ValueError("training rows of both labels are needed")
-    head = LogisticRegression(maxIter=1000, regParam=1 / (params["C"] * got.n), elasticNetParam=0.0, standardization=False)
-    model = head.fit(first)
+    out = []
+    for params in grid:
+        head = LogisticRegression(maxIter=1000, regParam=1 / (params["C"] * got.n), elasticNetParam=0.0, standardization=False)
+        model = head.fit(first)
+        out.append([model.transform(f).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction") for f in others])
     first.unpersist()
-    return [model.transform(f).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction") for f in rest]
+    return out
+
+
+def fit_predict(featurize: Featurize, train: DataFrame, others: list[DataFrame], params: dict, test_year: int) -> list[DataFrame]:
+    """The other frames with p, the probability of label 1. The penalty is 1 / (2 C) times the
+    squared length of the weights beside the summed loss; one class alone is an error."""
+    first, *rest = featurize(train, others, params, test_year)
+    return _fitted(first, rest, [params])[0]
+
+
+def by_features(grid: Sequence[dict]) -> list[list[int]]:
+    """Configurations that differ in C alone, and so share their features."""
+    groups: dict[str, list[int]] = {}
+    for k, params in enumerate(grid):
+        groups.setdefault(repr(sorted((n, v) for n, v in params.items() if n != "C")), []).append(k)
+    return list(groups.values())
 
 
 def lexicon_scores(panel: DataFrame) -> DataFrame:
@@ -88,16 +120,17 @@ def walk_forward(panel: DataFrame, calendar: DataFrame, splits: Sequence[Split],
         test = select_years(panel, split.test, split.test)
         if shuffle_seed is not None:
             train, refit = shuffle_labels(train, shuffle_seed), shuffle_labels(refit, shuffle_seed)
-        best, best_ic = grid[0], -math.inf
-        for k, params in enumerate(grid):
-            (scored,) = fit_predict(featurize, train, [valid], params, split.test)
-            days = stock_day_scores(scored)
-            mean_ic = daily_ic(days, min_names=protocol.min_names).agg(F.avg("ic")).first()[0]
-            validation.append({"test_year": split.test, "config": k, "mean_ic": mean_ic})
-            net = long_short(days, protocol.min_names, protocol.cost).select(F.lit(split.test).alias("test_year"), F.lit(k).alias("config"), "signal_date", "net")
-            nets = net if nets is None else nets.unionByName(net)
-            if mean_ic is not None and mean_ic > best_ic:
-                best, best_ic = params, mean_ic
+        ics: dict[int, float | None] = {}
+        for members in by_features(grid):  # features are worked out once for all that share them
+            first, valid_features = featurize(train, [valid], grid[members[0]], split.test)
+            for k, (scored,) in zip(members, _fitted(first, [valid_features], [grid[k] for k in members]), strict=True):
+                days = stock_day_scores(scored).persist()  # read for the ICs and for the nets
+                ics[k] = daily_ic(days, min_names=protocol.min_names).agg(F.avg("ic")).first()[0]
+                net = long_short(days, protocol.min_names, protocol.cost).select(F.lit(split.test).alias("test_year"), F.lit(k).alias("config"), "signal_date", "net")
+                nets = net if nets is None else nets.unionByName(net)
+        validation += [{"test_year": split.test, "config": k, "mean_ic": ics[k]} for k in range(len(grid))]
+        known = [k for k in range(len(grid)) if ics[k] is not None and not math.isnan(ics[k])]
+        best = grid[max(known, key=lambda k: (ics[k], -k))] if known else grid[0]
         (scored,) = fit_predict(featurize, refit, [test], best, split.test)
         out = stock_day_scores(scored).withColumn("test_year", F.lit(split.test))
         scores = out if scores is None else scores.unionByName(out)
@@ -115,6 +148,12 @@ def best_config(validation: Sequence[dict]) -> int:
     return min(found, key=lambda k: (-sum(found[k]) / len(found[k]), k))
 
 
+def best_config_of(validation: DataFrame) -> DataFrame:
+    """``best_config`` of a table of config, mean_ic: one row, or none without a finite IC."""
+    finite = validation.where("mean_ic IS NOT NULL AND NOT isnan(mean_ic) AND abs(mean_ic) < double('infinity')")
+    return finite.groupBy("config").agg(F.avg("mean_ic").alias("_m")).agg(F.min(F.struct(-F.col("_m"), F.col("config").alias("config"))).alias("b")).select(F.col("b.config").alias("best_config")).where("best_config IS NOT NULL")
+
+
 def config_sharpe_variance(validation_returns: DataFrame) -> DataFrame:
     """Sample variance over configurations of mean / deviation of their validation nets."""
     ratio = F.when(F.stddev_samp("net") > 0, F.avg("net") / F.stddev_samp("net"))

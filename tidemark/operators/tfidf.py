@@ -6,18 +6,22 @@ import tempfile
 import uuid
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import ngrams, tokens
 
 
-def term_counts(rows: DataFrame, text: str = "headline", id_col: str = "row_id", span: tuple[int, int] = (1, 1)) -> DataFrame:
-    """row id, term, tf."""
-    words = rows.select(id_col, tokens(F.col(text)).alias("_w"))
+def term_counts(rows: DataFrame, text: str = "headline", id_col: str = "row_id", span: tuple[int, int] = (1, 1), known: DataFrame | None = None) -> DataFrame:
+    """row id, term, tf, and the columns of ``known``, if given, of whose terms alone there are
+    rows. The texts are dealt by id once; counting, and windows of a row, need no other shuffle."""
+    words = rows.select(id_col, tokens(F.col(text)).alias("_w")).repartition(id_col)
     terms = words.select(id_col, F.explode(ngrams(F.col("_w"), *span)).alias("term"))
-    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    extra = [] if known is None else [c for c in known.columns if c != "term"]
+    if known is not None:
+        terms = terms.join(F.broadcast(known), "term")  # at most max_features rows
+    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), *(F.first(c).alias(c) for c in extra))
 
 
 def vocabulary(train: DataFrame, text: str = "headline", id_col: str = "row_id", span: tuple[int, int] = (1, 1), min_df: int = 5, max_features: int = 50_000) -> DataFrame:
@@ -32,11 +36,9 @@ def vocabulary(train: DataFrame, text: str = "headline", id_col: str = "row_id",
 
 def weights(rows: DataFrame, terms: DataFrame, text: str = "headline", id_col: str = "row_id", span: tuple[int, int] = (1, 1)) -> DataFrame:
     """row id, term, weight: (1 + ln tf) idf, each row scaled to length 1; unknown terms drop out."""
-    # at most max_features rows
-    known = term_counts(rows, text, id_col, span).join(F.broadcast(terms), "term")
-    raw = known.withColumn("_r", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_r") * F.col("_r"))).alias("_n"))
-    return raw.join(norm, id_col).withColumn("weight", F.col("_r") / F.col("_n"))
+    raw = term_counts(rows, text, id_col, span, terms).withColumn("_r", (1 + F.log("tf")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_r") * F.col("_r")).over(Window.partitionBy(id_col)))
+    return raw.withColumn("weight", F.col("_r") / norm)
 
 
 def features(rows: DataFrame, terms: DataFrame, text: str = "headline", id_col: str = "row_id", span: tuple[int, int] = (1, 1), folder: str | None = None) -> DataFrame:
@@ -58,6 +60,9 @@ def features(rows: DataFrame, terms: DataFrame, text: str = "headline", id_col:
 
 
 def _folder(rows: DataFrame) -> str:
-    """The shared folder that the session names; a temporary one only without."""
-    at = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names; a temporary one only without, on one machine."""
+    spark = rows.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return at or "file://" + tempfile.mkdtemp(prefix="tidemark-")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import shutil
 import time
@@ -55,8 +54,8 @@ class Research:
     def _grid(self, name: str) -> tuple[dict, ...]:
         return self.protocol.dense_grid if name == "chrono" else self.protocol.tfidf_grid
 
-    def _featurize(self, name: str) -> model.Featurize:
-        return model.dense_featurizer(self.cache, self.protocol) if name == "chrono" else model.tfidf_featurizer(self.protocol)
+    def _featurize(self, name: str, panel: DataFrame) -> model.Featurize:
+        return model.dense_featurizer(self.cache, panel, self.protocol) if name == "chrono" else model.tfidf_featurizer(self.protocol)
 
     # 1
     def gate_g1(self, file: str, licence: str, licence_ok: bool) -> dict:
@@ -152,7 +151,7 @@ class Research:
         if name not in (self.gates.primary(), "tfidf"):
             raise Refused(f"gate G4 made {self.gates.primary()} the primary; {name} is not allowed")
         p, calendar = self.protocol, self.read("calendar")
-        got = model.walk_forward(self.read("panel"), calendar, splits.walk_forward_splits(p.test_years, p.train_years), self._featurize(name), self._grid(name), p, 0 if null else None)
+        got = model.walk_forward(self.read("panel"), calendar, splits.walk_forward_splits(p.test_years, p.train_years), self._featurize(name, self.read("panel")), self._grid(name), p, 0 if null else None)
         out = f"{name}_null" if null else name
         self.write(got.scores, f"{out}_scores")
         self.write(got.validation_returns, f"{out}_validation_returns")
@@ -182,7 +181,7 @@ class Research:
             raise Refused(f"run the model {name} first")
         params = self._grid(name)[model.best_config(done["validation"])]
         train = splits.select_years(self.read("panel"), *p.holdout_train_years, self.read("calendar"))
-        (scored,) = model.fit_predict(self._featurize(name), train, [self.read("panel_holdout")], params, p.holdout_start.year)
+        (scored,) = model.fit_predict(self._featurize(name, self.read("panel").unionByName(self.read("panel_holdout"))), train, [self.read("panel_holdout")], params, p.holdout_start.year)
         self.write(model.stock_day_scores(scored), "holdout_scores")
         got = evaluate.daily_ic(self.read("holdout_scores"), min_names=p.min_names).agg(F.count("ic").alias("days"), F.avg("ic").alias("mean_ic")).first()
         write_json(self.results / "holdout.json", {"model": name, "params": params, "days": got.days, "mean_ic": got.mean_ic})
@@ -198,10 +197,8 @@ class Research:
         scores, returns = self.read(f"{name}_scores"), self.read("returns")
         primary = read_json(self.results / f"{name}.json")["overall"]
         lag = evaluate.lag_ic(scores, returns, calendar, p.min_names).agg(F.avg("ic")).first()[0]
-        m = stats.moments(evaluate.long_short(scores, p.min_names, p.cost), "net").first()
         variance = model.config_sharpe_variance(self.read(f"{name}_validation_returns")).first()[0]
-        known = m.sd and variance is not None
-        deflated = stats.deflated_sharpe(m.n, m["mean"], m.sd, m.skew, m.kurt, len(self._grid(name)), variance) if known else math.nan
+        deflated = stats.deflated_sharpe_of(stats.moments(evaluate.long_short(scores, p.min_names, p.cost), "net"), len(self._grid(name)), variance)
         bar = evaluate.publish_bar(primary["ic_t"], primary["net_sharpe"], primary["mean_ic"], lag, held["mean_ic"])
         terciles = [r.asDict() for r in evaluate.by_tercile(scores, p).orderBy("tercile").collect()]
         study = [r.asDict() for r in evaluate.event_study(scores, returns, calendar, p.offsets, p.min_names).orderBy("q", "offset").collect()]
