@@ -111,3 +111,29 @@ def test_groups_are_summarised_alike(spark):
 def test_publish_bar(values, failing):
     bar = evaluate.publish_bar(*values)
     assert {k for k, c in bar["conditions"].items() if not c["pass"]} == failing and bar["publish"] == (not failing)
+
+
+def test_publish_conditions_as_a_table(spark):
+    rows = [(1, 3.0, 1.0, 0.05, 0.01, 0.02), (2, 3.0, float("nan"), 0.05, 0.03, None), (3, 1.0, 0.5, -0.05, -0.9, 0.0)]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"{c} double" for c in evaluate.STATISTICS))
+    got = evaluate.publish_conditions(df, ("k",)).collect()
+    assert {(r.k, r.condition) for r in got if r["pass"]} == {(1, c) for c in evaluate.BAR} | {(2, "1_ic_t_ge_2"), (3, "2_net_sharpe_ge_0_5")}
+    for k, *values in rows:
+        assert {r.condition: r["pass"] for r in got if r.k == k} == {c: v["pass"] for c, v in evaluate.publish_bar(*values)["conditions"].items()}
+
+
+def test_deflated_sharpe_values(spark):
+    """Half at the expected maximum, more with a higher mean, and its value by hand."""
+    rng = np.random.default_rng(3)
+    draws = rng.standard_t(6, 800) * 0.01 + 0.001
+    series = lambda x: stats.moments(spark.createDataFrame([(float(v),) for v in x], "net double"), "net")
+    ratio = draws.mean() / draws.std(ddof=1)
+    at_max = (ratio / stats.expected_max_sharpe(6, 1.0)) ** 2
+    assert stats.deflated_sharpe_of(series(draws), 6, at_max) == pytest.approx(0.5, abs=1e-9)
+    assert stats.deflated_sharpe_of(series(draws + 0.0005), 6, at_max) > 0.5
+    e = draws - draws.mean()
+    skew, kurt = (e**3).mean() / (e**2).mean() ** 1.5, (e**4).mean() / (e**2).mean() ** 2
+    assert stats.expected_max_sharpe(6, 0.01) == pytest.approx(0.1 * ((1 - 0.5772156649) * 0.9674215661 + 0.5772156649 * 1.5426183436), abs=2e-3)
+    z = (ratio - stats.expected_max_sharpe(6, 0.0004)) * math.sqrt(799) / math.sqrt(1 - skew * ratio + (kurt - 1) / 4 * ratio**2)
+    assert stats.deflated_sharpe_of(series(draws), 6, 0.0004) == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), abs=1e-9)
+    assert math.isnan(stats.deflated_sharpe_of(series([0.1, 0.1]), 6, 0.01)) and math.isnan(stats.deflated_sharpe_of(series(draws), 6, None))

@@ -92,6 +92,29 @@ def test_embedding_cache(spark, tmp_path):
     assert dense.vintage_for(2013).endswith("20121231")
 
 
+def test_block_featurizer(spark, tmp_path):
+    """A block is embedded once; rows outside it and caches that lack part of it are errors."""
+    p = Protocol(test_years=(2013,), train_years=1)
+    frame = rows(spark, ["up", "down it goes"]).withColumn("signal_date", F.lit("2012-05-02").cast("date"))
+    panel = frame.unionByName(frame.withColumns({"headline": F.concat("headline", F.lit(" x")), "signal_date": F.lit("2013-05-02").cast("date")}))
+    cache = dense.EmbeddingCache(spark, str(tmp_path), dense.HashingEmbedder, p)
+    run = model.dense_featurizer(cache, panel, p)
+    first, second = run(frame, [panel], {"C": 1.0}, 2013)
+    assert first.count() == 2 and second.count() == 4
+    with pytest.raises(ValueError, match="outside"):
+        run(frame, [rows(spark, ["not of the panel"]).withColumn("signal_date", F.lit("2012-05-03").cast("date"))], {"C": 1.0}, 2013)
+    more = panel.unionByName(rows(spark, ["a later row"]).withColumn("signal_date", F.lit("2012-05-03").cast("date")))
+    with pytest.raises(ValueError, match="lacks"):
+        model.dense_featurizer(cache, more, p)(frame, [panel], {"C": 1.0}, 2013)
+    assert model.by_features(p.tfidf_grid) == [[0, 1, 2], [3, 4, 5]] and model.by_features(p.dense_grid) == [list(range(6))]
+
+
+def test_best_config_of_a_table(spark):
+    v = [(0, 0.1), (1, 0.3), (1, float("nan")), (2, 0.3), (0, 0.2), (3, None), (4, float("inf"))]
+    df = spark.createDataFrame(v, "config int, mean_ic double")
+    assert [r.best_config for r in model.best_config_of(df).collect()] == [1] and model.best_config_of(df.where("config > 2")).collect() == []
+
+
 def test_mean_pool(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1.0, 1.0, 0.0]), ([[1.0, 2.0]], [0.0])], "h array<array<double>>, m array<double>")
     assert [r.v for r in df.select(dense.mean_pool(F.col("h"), F.col("m"), 2).alias("v")).collect()] == [[2.0, 3.0], [0.0, 0.0]]

@@ -90,3 +90,10 @@ def test_collector_splits(tmp_path):
 def test_collector_floor(tmp_path, caplog):
     assert collector.collect_feed(START, START + timedelta(minutes=2), tmp_path, "k", lambda p: {"feed": [{}] * collector.CAP}) == 1
     assert "cap" in caplog.text and Protocol().min_relevance == 0.5
+
+
+def test_csv_with_and_without_breaks_in_records(spark, tmp_path):
+    for name, text in (("a", 'title,date\n"one ""quoted"", word",x\nplain,y\n'), ("b", 'title,date\n"over\ntwo lines",x\nplain,y\n')):
+        (tmp_path / name).write_text(text)
+    assert [r.title for r in news.read_csv(spark, str(tmp_path / "a")).collect()] == ['one "quoted", word', "plain"]
+    assert [r.title for r in news.read_csv(spark, str(tmp_path / "b")).collect()] == ["over\ntwo lines", "plain"]
