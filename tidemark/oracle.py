@@ -104,6 +104,10 @@ LEXICON = "lx(term, v) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in sort
 SUBSET = "SELECT ticker, signal_date, floor(score / 50)::DOUBLE AS score, ret_next_excess, liquidity_tercile FROM sc"
 
 
+SHUFFLED = """lb AS (SELECT o_orderkey AS row_id, (o_totalprice > 200000)::INT AS y FROM orders), p AS (SELECT row_id, row_number() OVER (ORDER BY md5(row_id || ':0'), row_id) AS i FROM lb),
+g AS (SELECT y, row_number() OVER (ORDER BY md5(row_id || ':1000003'), row_id) AS i FROM lb), sh AS (SELECT row_id, y FROM p JOIN g USING (i))"""
+
+
 def oracle_sql() -> dict[str, str]:
     study = f"""WITH {SCORES},{legs("sc", keep="")}, k AS (SELECT unnest([-1, 0, 1, 2, 3, 4, 5])::INT AS "offset"),
 m AS (SELECT q, "offset", avg(ret.ret_next_excess) AS mean_r FROM lg JOIN cal c ON lg.signal_date = c.date CROSS JOIN k JOIN cal c2 ON c2.idx = c.idx + "offset"
@@ -145,7 +149,19 @@ es AS (SELECT q, "offset", mean_r, sum(mean_r) OVER (PARTITION BY q ORDER BY "of
         "midnight_share": f"WITH {STAMPS} SELECT round(avg((wall LIKE '% 00:00:00')::INT), 9) AS midnight_share FROM st",
         "offset_value_counts": f"WITH {STAMPS} SELECT off AS utc_offset, count(*) AS n FROM st WHERE off <> '' GROUP BY off",
         "dst_agreement": f"WITH {STAMPS} SELECT round(avg((off = '-05:00')::INT), 9) AS agreement FROM st",
-        "label_shuffle_counts": "SELECT (l_returnflag = 'R')::INT AS y, count(*) AS n FROM lineitem GROUP BY 1",
+        "label_shuffle_rows": f"WITH {SHUFFLED} SELECT row_id, y FROM sh",
+        "label_shuffle_counts": f"WITH {SHUFFLED} SELECT lb.y, sh.y AS shuffled, count(*) AS n FROM lb JOIN sh USING (row_id) GROUP BY ALL",
+        "seeded_sample": "SELECT doc_id FROM (SELECT DISTINCT doc_id FROM documents) ORDER BY md5(doc_id || ':0'), doc_id LIMIT 100",
+        "publish_conditions": f"""WITH s AS ({summary("li", LI, "test_year", 10)}), c AS (SELECT test_year, ic_t, net_sharpe, mean_ic, mean_turnover / 100 AS lag, gross_sharpe AS held FROM s)
+SELECT test_year, '1_ic_t_ge_2' AS condition, ic_t AS value, coalesce(ic_t >= 2, false) AS pass FROM c UNION ALL SELECT test_year, '2_net_sharpe_ge_0_5', net_sharpe, coalesce(net_sharpe >= 0.5, false) FROM c
+UNION ALL SELECT test_year, '3_lag_ic_le_half', lag, coalesce(mean_ic > 0 AND lag <= mean_ic * 0.5, false) FROM c UNION ALL SELECT test_year, '4_holdout_ic_gt_0', held, coalesce(held > 0, false) FROM c""",
+        # the normal quantiles at 1 - 1/6 and 1 - 1/(6 e), and Euler's constant
+        "deflated_sharpe_z": f"""WITH {SCORES},{ls('sc')}, c AS (SELECT net, net - avg(net) OVER () AS e FROM lsd),
+m AS (SELECT count(*) AS n, avg(net) / stddev_samp(net) AS sr, avg(e**3) / avg(e**2)**1.5 AS skew, avg(e**4) / avg(e**2)**2 AS kurt, (0.1::DOUBLE * ((1 - 0.5772156649015329::DOUBLE) * 0.967421566101701::DOUBLE + 0.5772156649015329::DOUBLE * 1.543842550450144::DOUBLE)) AS sr0 FROM c)
+SELECT n, round(sr, 8) AS sr, round(sr0, 8) AS sr0, round((sr - sr0) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr), 6) AS z FROM m""",
+        "embedding_blocks": """WITH b(block, first, last) AS (VALUES (1996, 1994, 1996), (1997, 1995, 1997), (1998, 1996, 1998), (2000, 1995, 1998)),
+y AS (SELECT year(o_orderdate)::INT AS year, count(DISTINCT o_orderpriority) AS t, count(*) AS r FROM orders GROUP BY 1)
+SELECT block, coalesce(sum(t), 0)::BIGINT AS distinct_texts, coalesce(sum(r), 0)::BIGINT AS rows FROM b LEFT JOIN y ON year BETWEEN first AND last GROUP BY block""",
         "hit_rate": f"WITH {SCORES} SELECT round(avg(((score + 50 > 0) = (ret_next_excess > 0))::INT), 9) AS hit_rate FROM sc",
         "year_unique_headlines": "SELECT year(o_orderdate)::INT AS year, count(DISTINCT o_orderpriority) AS distinct_texts, count(*) AS rows FROM orders GROUP BY 1",
         "feed_explode_relevance": "SELECT user_id::VARCHAR AS ticker, count(*) AS n, min(date_trunc('second', ts) + INTERVAL 5 HOUR)::TIMESTAMP AS first_ts FROM events WHERE event_id % 10 >= 5 GROUP BY user_id",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import stats, text
 from tidemark.functions.clock import stripped, wall_time
 from tidemark.operators import align, dense, evaluate, model, prices, sampling, splits, tfidf
+from tidemark.plans import gates
 from tidemark.protocol import Protocol
 from tidemark.sources import news as news_source
 
@@ -126,8 +127,9 @@ def panel_same_day(spark, d):
 
 
 def news_dedup(spark, d):
-    raw = table(spark, d, "events").select(F.concat(F.lit(" u"), F.col("user_id").cast("string"), F.lit("\t")).alias("t"), F.col("ts").cast("date").alias("day"), F.concat(F.lit(" "), F.col("event_type")).alias("h"))
-    return raw.select(F.upper(stripped(F.col("t"))).alias("ticker"), "day", stripped(F.col("h")).alias("headline")).dropDuplicates(["ticker", "day", "headline"])
+    stamp = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd 00:00:00+00:00")
+    raw = table(spark, d, "events").select(F.concat(F.lit(" u"), F.col("user_id").cast("string"), F.lit("\t")).alias("stock"), stamp.alias("date"), F.concat(F.lit(" "), F.col("event_type")).alias("title"))
+    return news_source.clean_news(raw).select("ticker", wall_time(F.col("ts"), "UTC").cast("date").alias("day"), "headline")
 
 
 def year_block_embargo(spark, d):
@@ -214,13 +216,30 @@ def config_sharpe_variance(spark, d):
 
 
 def best_config(spark, d):
-    rows = table(spark, d, "lineitem").groupBy((F.col("l_linenumber") - 1).alias("config"), F.year("l_shipdate").alias("test_year")).agg(F.round(F.avg("l_discount"), 9).alias("mean_ic")).collect()  # configurations x years
-    return spark.createDataFrame([(model.best_config([r.asDict() for r in rows]),)], "best_config int")
+    ics = table(spark, d, "lineitem").groupBy((F.col("l_linenumber") - 1).alias("config"), F.year("l_shipdate").alias("test_year")).agg(F.round(F.avg("l_discount"), 9).alias("mean_ic"))
+    return model.best_config_of(ics).select(F.col("best_config").cast("int").alias("best_config"))
 
 
 def names_per_day_gate(spark, d):
-    n = ev_news(spark, d).groupBy(F.col("ts").cast("date").alias("day")).agg(F.countDistinct("ticker").alias("n"))
-    return n.where(F.col("n") >= 20).agg(F.count(F.lit(1)).alias("qualifying_days"))
+    panel = ev_news(spark, d).withColumn("signal_date", F.col("ts").cast("date"))
+    return gates.qualifying_days(panel, 20)
+
+
+def publish_conditions(spark, d):
+    s = summary_by_year(spark, d)
+    return evaluate.publish_conditions(s.select("test_year", "ic_t", "net_sharpe", "mean_ic", (F.col("mean_turnover") / 100).alias("mean_lag_ic"), F.col("gross_sharpe").alias("holdout_mean_ic")), ("test_year",))
+
+
+def deflated_sharpe_z(spark, d):
+    found = stats.moments(evaluate.long_short(ev_scores(spark, d), NAMES), "net")
+    z = stats.deflated_z(found, 6, 0.01)
+    return z.select("n", F.round("sr", 8).alias("sr"), F.round("sr0", 8).alias("sr0"), F.round("z", 6).alias("z"))
+
+
+def embedding_blocks(spark, d):
+    p = replace(Protocol(), test_years=(1996, 1997, 1998), train_years=2, holdout_train_years=(1995, 1998), holdout_start=date(2000, 1, 1))
+    orders = table(spark, d, "orders").select(F.col("o_orderdate").alias("signal_date"), F.col("o_orderpriority").alias("headline"))
+    return gates.block_totals(gates.year_counts(orders), p)
 
 
 def _stamps(spark, d):
@@ -242,9 +261,17 @@ def dst_agreement(spark, d):
     return rounded(news_source.clock_agreement(_stamps(spark, d), "stamp"), agreement=9)
 
 
+def _labelled(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") > 200_000).cast("int").alias("y"))
+
+
+def label_shuffle_rows(spark, d):
+    return sampling.shuffle_labels(_labelled(spark, d), 0)
+
+
 def label_shuffle_counts(spark, d):
-    rows = table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    return sampling.shuffle_labels(rows, 0).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    both = _labelled(spark, d).join(label_shuffle_rows(spark, d).withColumnRenamed("y", "shuffled"), "row_id")
+    return both.groupBy("y", "shuffled").agg(F.count(F.lit(1)).alias("n"))
 
 
 def seeded_sample(spark, d):
@@ -256,8 +283,7 @@ def hit_rate(spark, d):
 
 
 def year_unique_headlines(spark, d):
-    o = table(spark, d, "orders")
-    return o.groupBy(F.year("o_orderdate").alias("year")).agg(F.countDistinct("o_orderpriority").alias("distinct_texts"), F.count(F.lit(1)).alias("rows"))
+    return gates.year_counts(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "headline"), "o_orderdate")
 
 
 def feed_explode_relevance(spark, d):
@@ -338,7 +364,7 @@ QUERIES = [
     quintiles_hash_ties, long_short_daily, turnover_full_outer, event_study, event_study_pivot_bps, newey_west_t,
     annualised_sharpe, return_moments, summary_by_tercile, summary_by_year, summary_overall,
     config_sharpe_variance, best_config, names_per_day_gate, midnight_share, offset_value_counts, dst_agreement,
-    label_shuffle_counts, seeded_sample, hit_rate, year_unique_headlines, feed_explode_relevance, tfidf_vocab,
+    label_shuffle_rows, label_shuffle_counts, publish_conditions, deflated_sharpe_z, embedding_blocks, seeded_sample, hit_rate, year_unique_headlines, feed_explode_relevance, tfidf_vocab,
     tfidf_weights, tfidf_bigrams, lexicon_scores, event_lexicon_scores, standardise_embeddings,
     mean_pool_embeddings, logistic_scores, walk_forward_scores, collector_windows,
 ]
