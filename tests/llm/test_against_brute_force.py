@@ -145,6 +145,30 @@ def test_near_duplicates_with_large_groups(spark):
     assert got == classes(rows, 4)[0]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_beyond_the_centre(spark, seed):
+    """Large groups around a base that isn't in the table: families far from any centre, drifting
+    chains and cut texts of many lengths, whose links go between members only."""
+    rng = random.Random(seed)
+    base, rows = [f"b{k}" for k in range(130)], []
+    edited = lambda own, n: [f"e{rng.random()}" if j in hit else w for hit in [set(rng.sample(range(len(own)), n))] for j, w in enumerate(own)]
+    for _ in range(25):  # families: far from the base, near one another
+        head = edited(base, rng.randint(4, 9))
+        rows += [edited(head, rng.randint(0, 3)) for _ in range(3)]
+    now = edited(base, 3)
+    for _ in range(40):  # a chain that drifts away
+        now = edited(now, 1)
+        rows.append(now)
+    for _ in range(40):  # cut and lengthened texts
+        own = edited(base, rng.randint(0, 2))
+        rows.append(own[rng.randint(0, 20) :] + [f"x{rng.random()}" for _ in range(rng.choice([0, 0, 10, 20]))])
+    rng.shuffle(rows)
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows), 4).collect()}
+    want, links = classes(rows, 4)
+    assert got == want and links > 100 and len({w[1] for w in want.values()}) > 10
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(7, 7)]
@@ -346,6 +370,33 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([(r.score >= 0.3) == bool(y[r.doc_id]) for r in held]) > 0.95
 
 
+def test_quality_features_and_scores(spark):
+    """Features counted by hand and scores by a plain loop, for texts together, alone and in pieces."""
+    rng = random.Random(11)
+    letters = "abcé ß\U0001f600\n\t "
+    texts = [None, "", " ", "a", "ab ab", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(200))]
+
+    def features(text):
+        words = re.findall(WORD, text or "")
+        out = len(words) + max(len(words) - 1, 0)
+        return out + sum(max(len(w) + 2 - n + 1, 0) for w in words for n in (3, 4))
+
+    gain = np.random.default_rng(0).normal(size=1 << 16)
+    model = quality.QualityModel(gain, 0.25, (3, 4))
+    together = quality.scores_of(texts, model)
+    for text, score in zip(texts, together, strict=True):
+        found = [quality.features_of(c, o, 1 << 16, (3, 4))[0] for c, o in quality._gathered(iter([text]))]
+        f = np.concatenate(found) if found else np.zeros(0, int)
+        assert len(f) == features(text)
+        assert score == round(1 / (1 + np.exp(-0.25 - (gain[f].mean() if len(f) else 0.0))), 9)
+    one = lambda t: next(quality._gathered(iter([t])))
+    assert len(set(quality.features_of(*one("x x x"), 1 << 16, (3,))[0].tolist())) == 3  # the word, its pair with itself, its n-gram
+    word = np.concatenate([quality.features_of(*one(w), 1 << 30, (3, 4))[0] for w in ("ab", "ré", "ab")])
+    assert set(word.tolist()) <= set(quality.features_of(*one("ab ré ab"), 1 << 30, (3, 4))[0].tolist())
+    long = " ".join(rng.choice(["one", "été", "word"]) for _ in range(quality.PIECE // 3)) + "x" * (quality.PIECE + 5)
+    assert "".join("".join(map(chr, p)) for p in quality.pieces_of(long)) == long
+
+
 def test_held_out_labels_are_not_learned(spark):
     df = frame(spark, [(k, f"text {k}") for k in range(50)])
     flip = lambda only: spark.createDataFrame([(k, int((k % 2 == 0) != (only and zlib.crc32(str(k).encode()) % 5 == 0))) for k in range(50)], "doc_id long, quality int")
@@ -387,6 +438,20 @@ def test_tokens_round_trip(spark):
         start += len(ids)
 
 
+def test_tokens_of_another_tokenizer(spark):
+    """A file with other rules isn't encoded by words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_orc.by_words(public_tokenizers.path("word_bpe_49k.json")) and not token_orc.by_words(path)
+    rows = [(1, "Two  Words,\n and <|endoftext|> more"), (2, ""), (3, " é\U0001f600 "), (4, None)]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_orc.encode_and_read_back(frame(spark, rows), path, 2).collect()}
+    for i, t in rows:
+        ids = [*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_sharding(spark):
     rows = [(k, f"text {k % 50}") for k in range(4000)]
     out = sharding.shard_documents(frame(spark, rows)).collect()
@@ -590,3 +655,37 @@ def test_licenses_in_their_common_forms(spark):
     df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, where string, text string")
     got = {r.doc_id: (r.license, r.origin) for r in licenses.scan_licenses(df, df["where"]).collect()}
     assert got == {r[0]: r[3:] for r in rows}
+
+
+def test_pipeline(spark, tmp_path):
+    """All five stages on a corpus of copies, passages and poor texts, against plain Python."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    rng = random.Random(21)
+    rows = [(i, t) for i, t in corpus(21, 150)]
+    rows += [(1000 + k, " ".join(rng.choice(["$$$", "###", "%%%"]) + f"w{rng.randrange(400)}" for _ in range(30))) for k in range(40)]
+    items = [(k, " ".join(rng.choice([t for _, t in rows[:150] if len(t.split()) > 60]).split()[5:45])) for k in range(3)]
+    label = lambda i: int(i < 1000)
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, label(i), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    model = quality.train(docs, labels)
+    good = [r for r, s in zip(rows, quality.scores_of([t for _, t in rows], model), strict=True) if s >= 0.3]
+    assert sum(label(i) for i, _ in good) == 150 and len(good) < 155
+    found = classes(good, 5)
+    first = [r for r in good if found[0][r[0]][2]]
+    shingles = lambda w: collections.Counter(tuple(w[a : a + 5]) for a in range(len(w) - 4))
+
+    def holds(text, item):
+        w, other = words_of(text), words_of(item)
+        b = shingles(other)
+        return any(sum((one & b).values()) * 100 >= sum((one | b).values()) * 80 for a in range(-len(other), len(w)) if (one := shingles(w[max(a, 0) : a + len(other)])))
+
+    want = {i: t for i, t in first if not any(holds(t, s) for _, s in items)}
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want) < len(first) < len(good)
+    assert {r.doc_id: r.shard for r in got} == {r.doc_id: r.shard for r in sharding.shard_documents(docs).collect() if r.doc_id in want}
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))

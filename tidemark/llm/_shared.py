@@ -16,9 +16,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The URI in ``spark.checkpoint.dir``; only a session without one (tests) gets a temporary folder."""
+    """The URI in ``spark.checkpoint.dir``; only a session on one machine (tests) may lack it and
+    gets a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at if "://" in at or at.startswith("file:") else f"file://{at}"

@@ -7,6 +7,7 @@ splits at stripes.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from struct import pack
@@ -25,16 +26,34 @@ CACHE_WORDS = 600_000
 CHUNK_BYTES = 4 << 20
 
 
+#: What a tokenizer file must say for its texts to be encoded by words. White space
+#: is dropped and parts words only, letters are lower-cased, and marks are cut from letters.
+BY_WORDS = {
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "split": {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    "bytes": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether a text's ids under the tokenizer file are those of its words one after another."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    rules = (said["normalizer"] or {}).get("normalizers"), (said["pre_tokenizer"] or {}).get("pretokenizers")
+    marked = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in said["added_tokens"])
+    return marked and rules == (BY_WORDS["normalizers"], [BY_WORDS["split"], BY_WORDS["bytes"]])
+
+
 class _Words(dict):
-    """Ids of a blank-free piece of text as little-endian bytes. The tokenizer splits at white
-    space before anything else, so a text's ids are those of its pieces; it also splits letters
-    from the marks after them, so a letter's or digit's word serves before any marks."""
+    """Ids of a blank-free piece of text as little-endian bytes. Under a tokenizer file of which
+    ``by_words`` holds, a text's ids are those of its pieces, and a letter's or digit's word
+    serves before any marks; under others whole texts are encoded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode, self.older = Tokenizer.from_file(path).encode, {}
+        self.encode, self.older, self.by_words = Tokenizer.from_file(path).encode, {}, by_words(path)
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
@@ -52,6 +71,9 @@ class _Words(dict):
         return ids
 
     def text(self, raw: bytes) -> bytes:
+        if not self.by_words:
+            got = self.encode(raw.decode(), add_special_tokens=False).ids
+            return np.array(got, "<u4").tobytes()
         # A-Z are lower-cased by the tokenizer too, but for its special tokens
         pieces = raw.split() if b"<|" in raw else raw.lower().split()
         return b"".join(map(self.__getitem__, pieces))
