@@ -164,7 +164,9 @@ def _reader(folder: str, whole: bool):
 
 def write_media(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each whole text (null: empty) and return the index: doc_id, n_bytes, digest, shard,
-    offset, length. Equal texts have equal digests; repeated rows point to the same item."""
+    offset, length. Equal texts have equal digests; repeated rows stay and those of one
+    task point to the same item. A very long text is one item, held in memory whole; an empty
+    table writes no shard and gives no rows; other columns aren't stored."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return written(docs.mapInArrow(_writer(folder), INDEX), "media-index")
 
@@ -180,5 +182,6 @@ def read_media(index: DataFrame, folder: str) -> DataFrame:
 
 
 def store_and_read_back(df: DataFrame) -> DataFrame:
+    """``write_media`` to the shared folder, then ``read_media`` of it: a row for each row."""
     folder = new_path(df.sparkSession, "media")
     return read_media(write_media(df, folder), folder)

@@ -116,7 +116,8 @@ def _encoder(tokenizer_path: str, end_id: int):
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", index_stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
     """Encode each whole text (null: empty), append ``end_id`` and write ORC in ascending id
     order, one file a range of ids. Rows without an id come first; rows of one id go by their
-    text's CRC, and equal rows follow each other."""
+    text's CRC, and equal rows follow each other, in any order. Very long texts are one row with
+    all their ids; an empty table gives files without rows; other columns aren't written."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("crc"))
     ordered = docs.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc").select("doc_id", "text")
     (
@@ -162,6 +163,7 @@ def token_spans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_and_read_back(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """``write_tokens`` to the shared folder, then ``token_spans`` of the files: a row for each row."""
     spark = df.sparkSession
     path = new_path(spark, "tokens")
     write_tokens(df, path, tokenizer_path, end_id)
