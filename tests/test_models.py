@@ -85,10 +85,13 @@ def test_embedding_cache(spark, tmp_path):
     panel = rows(spark, ["a", "bbb", "a"]).unionByName(rows(spark, ["cc"], date(2011, 1, 3)).withColumn("row_id", F.lit(9).cast("long")))
     got = {r.row_id: r.embedding for r in cache.embed(panel, "m/1").collect()}
     assert got == {0: [1.0, 1.0], 1: [3.0, 1.0], 2: [1.0, 1.0], 9: [2.0, 1.0]}
-    assert spark.read.parquet(str(tmp_path / "m__1/2012")).count() == 2 and not calls
+    assert spark.read.parquet(str(tmp_path / "m__1/year=2012")).count() == 2 and not calls
     with pytest.raises(ValueError, match="lacks"):
         cache.embed(rows(spark, ["new"]), "m/1")
     assert cache.embed(rows(spark, ["new"]), "m/1", fill=True).count() == 1
+    later = rows(spark, ["a", "bbb", "new"]).unionByName(rows(spark, ["dddd"], date(2013, 1, 3)))
+    assert sorted(r.embedding[0] for r in cache.embed(later, "m/1").collect()) == [1.0, 3.0, 3.0, 4.0]  # only 2013 is new
+    assert spark.read.parquet(str(tmp_path / "m__1/year=2012")).count() == 3
     assert dense.vintage_for(2013).endswith("20121231")
 
 
@@ -141,4 +144,12 @@ def test_lexicon(spark):
     p = rows(spark, ["Profit surges", "plunge"]).withColumns({"ticker": F.lit("A"), "ret_next_excess": F.lit(0.1), "liquidity_tercile": F.lit(1)})
     one = lambda x: x / (x * x + 15) ** 0.5
     assert model.lexicon_scores(p).first().score == pytest.approx((one(3.6) + one(-2.3)) / 2)
+    cases = {
+        "not good": -0.74 * 1.9, "good": 1.9, "no one here sees gains": 1.6, "never was it good": -0.74 * 1.9, "very good": 2.2, "slightly bad": -1.6,
+        "not very good": -0.74 * 2.2, "surges sharply": 2.0, "quiet": 0.0, "": 0.0,
+    }
+    got = {r.headline: r.p for r in rows(spark, list(cases)).select("headline", text.polarity(text.tokens(F.col("headline"))).alias("p")).collect()}
+    assert got == {k: pytest.approx(one(v)) for k, v in cases.items()}
+    own = rows(spark, ["zig zag"]).select(text.polarity(text.tokens(F.col("headline")), {"zig": 2.0}).alias("p"))
+    assert own.first().p == pytest.approx(one(2.0))
     assert Protocol().tfidf_grid[3] == {"ngram": (1, 2), "C": 0.1}

@@ -67,3 +67,14 @@ def test_two_layouts(spark, tmp_path):
     assert extract_prices(tmp_path / "p.zip", tmp_path / "out") == 2
     got = sorted(map(tuple, load_prices(spark, str(tmp_path / "out")).collect()))
     assert got == [("AA", date(2020, 1, 2), 20.5, 20.1, 100.0), ("B B", date(2020, 1, 2), 30.5, 30.1, 300.0)]
+
+
+def test_price_cells(spark, tmp_path):
+    """Line ends, quotes, byte-order marks and blank lines; a column that isn't there."""
+    (tmp_path / "Q.csv").write_bytes('\ufeffDate,Close,Adj Close,Volume\r\n2020-01-02,"1,000",2.5,7\r\n"2020-01-03","20.5",20.1,"100"\r\n\r\n2020-01-06,3\r\n'.encode())
+    (tmp_path / "EMPTY.csv").write_text("")
+    (tmp_path / "HEAD.csv").write_text("other\n")
+    assert list(map(tuple, load_prices(spark, str(tmp_path)).collect())) == [("Q", date(2020, 1, 3), 20.5, 20.1, 100.0)]
+    (tmp_path / "BAD.csv").write_text("date,close,volume\n2020-01-02,1,1\n")
+    with pytest.raises(Exception, match="no column adj close in BAD.csv"):
+        load_prices(spark, str(tmp_path)).collect()

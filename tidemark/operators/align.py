@@ -48,21 +48,36 @@ def with_row_id(panel: DataFrame, day: str, *order: str) -> DataFrame:
     return panel.withColumn("_n", n).join(F.broadcast(offsets), day).withColumn("row_id", (F.col("_o") + F.col("_n") - 1).cast("long")).drop("_o", "_n")
 
 
-def _finish(panel: DataFrame) -> DataFrame:
-    labelled = panel.withColumn("y", (F.col("ret_next_excess") > 0).cast("byte"))
-    return with_row_id(labelled, "signal_date", "ticker", "ts", "headline").select(*PANEL)
+def numbered(rows: DataFrame) -> DataFrame:
+    """A panel of ``aligned`` rows with row_id. Rows are read for the days' offsets and for their
+    numbers, so large ones are best written before."""
+    return with_row_id(rows, "signal_date", "ticker", "ts", "headline").select(*PANEL)
 
 
-def build_panel(news: DataFrame, returns: DataFrame, calendar: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("y", (F.col("ret_next_excess") > 0).cast("byte")).select(*PANEL[1:])
+
+
+def aligned(news: DataFrame, returns: DataFrame, calendar: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
     """Headlines with the next-day excess return of the first session they can be traded on."""
     eligible = returns.where("eligible").select("ticker", F.col("date").alias("signal_date"), "ret_next_excess", "liquidity_tercile")
     dated = with_signal_date(news, calendar, protocol).where(F.col("signal_date").isNotNull())
-    return _finish(dated.join(eligible, ["ticker", "signal_date"]))
+    return _labelled(dated.join(eligible, ["ticker", "signal_date"]))
 
 
-def build_panel_same_day(news: DataFrame, returns: DataFrame, calendar: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
+def aligned_same_day(news: DataFrame, returns: DataFrame, calendar: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
     """The leaky alignment, for comparison: a headline's own date with the return that ends on it."""
     ends = neighbours(calendar).select("date", F.col("next_session").alias("signal_date"))
     ending = returns.where("eligible").join(F.broadcast(ends), "date").where(F.col("signal_date").isNotNull()).select("ticker", "signal_date", "ret_next_excess", "liquidity_tercile")
     dated = news.withColumn("signal_date", wall_time(F.col("ts").cast("timestamp"), protocol.zone).cast("date"))
-    return _finish(dated.join(ending, ["ticker", "signal_date"]))
+    return _labelled(dated.join(ending, ["ticker", "signal_date"]))
+
+
+def build_panel(news: DataFrame, returns: DataFrame, calendar: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
+    """``aligned`` rows, numbered."""
+    return numbered(aligned(news, returns, calendar, protocol))
+
+
+def build_panel_same_day(news: DataFrame, returns: DataFrame, calendar: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
+    """``aligned_same_day`` rows, numbered."""
+    return numbered(aligned_same_day(news, returns, calendar, protocol))

@@ -62,35 +62,37 @@ def _runner(factory: Callable[[str], Embedder], model_id: str, batch: int):
 
 
 class EmbeddingCache:
-    """Vectors of distinct headlines by model version and year, in Parquet partitions."""
+    """Vectors of distinct headlines: a Parquet table a model version, partitioned by year."""
 
     def __init__(self, spark: SparkSession, path: str, factory: Callable[[str], Embedder], protocol: Protocol = Protocol()):
         self.spark, self.path, self.factory, self.protocol = spark, path, factory, protocol
 
-    def _read(self, model_id: str, year: int) -> DataFrame | None:
+    def _folder(self, model_id: str) -> str:
+        return f"{self.path}/{model_id.replace('/', '__')}"
+
+    def _read(self, model_id: str) -> DataFrame | None:
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.parquet(f"{self.path}/{model_id.replace('/', '__')}/{year}")
+            return self.spark.read.schema("headline string, vector array<float>, year int").parquet(self._folder(model_id))
         except AnalysisException:
             return None
 
     def vectors(self, rows: DataFrame, model_id: str, fill: bool = False) -> DataFrame:
-        """year, headline, embedding of the rows' years. A year without a cache is embedded, each
-        headline once; a cached year that lacks headlines is an error, or with ``fill`` is completed."""
+        """year, headline, embedding of the rows' years. Years without a cache are embedded in one
+        job, each headline once a year; a cached year that lacks headlines is an error, or with
+        ``fill`` is completed."""
         dated = rows.select(F.year("signal_date").alias("year"), "headline").distinct()
-        out = self.spark.createDataFrame([], "year int, headline string, embedding array<float>")
-        for (year,) in dated.select("year").distinct().orderBy("year").collect():  # a row a year
-            texts, cache = dated.where(F.col("year") == year), self._read(model_id, year)
-            lacking = texts if cache is None else texts.join(cache, "headline", "left_anti")
-            if cache is not None and not fill and lacking.limit(1).count():
-                raise ValueError(f"the embedding cache of {model_id}, {year} lacks headlines; delete it and run again")
-            if cache is None or fill:
-                fresh = lacking.mapInPandas(_runner(self.factory, model_id, self.protocol.embed_batch), "year int, headline string, vector array<float>")
-                fresh.drop("year").write.mode("append").parquet(f"{self.path}/{model_id.replace('/', '__')}/{year}")
-                cache = self._read(model_id, year)
-            out = out.unionByName(cache.select(F.lit(year).alias("year"), "headline", F.col("vector").alias("embedding")))
-        return out
+        years = [r.year for r in dated.select("year").distinct().collect()]  # a row a year
+        lacking, cache = dated, self._read(model_id)
+        if cache is not None:
+            cache = cache.where(F.col("year").isin(years))
+            lacking = dated.join(cache, ["year", "headline"], "left_anti")
+            if not fill and (short := lacking.join(F.broadcast(cache.select("year").distinct()), "year", "left_semi").first()):
+                raise ValueError(f"the embedding cache of {model_id}, {short.year} lacks headlines; delete it and run again")
+        new = lacking.mapInPandas(_runner(self.factory, model_id, self.protocol.embed_batch), "year int, headline string, vector array<float>")
+        new.write.mode("append").partitionBy("year").parquet(self._folder(model_id))
+        return self._read(model_id).where(F.col("year").isin(years)).select("year", "headline", F.col("vector").alias("embedding"))
 
     def embed(self, rows: DataFrame, model_id: str, fill: bool = False) -> DataFrame:
         """``rows`` with ``embedding``."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import polarity, tokens
+from tidemark.functions.text import POLARITY, polarity, tokens
 from tidemark.operators import dense, tfidf
 from tidemark.operators.evaluate import daily_ic, long_short
 from tidemark.operators.sampling import shuffle_labels
@@ -103,9 +103,9 @@ def by_features(grid: Sequence[dict]) -> list[list[int]]:
     return list(groups.values())
 
 
-def lexicon_scores(panel: DataFrame) -> DataFrame:
-    """Stock-day means of the headlines' polarity; nothing is fitted."""
-    return stock_day_scores(panel.withColumn("p", polarity(tokens(F.col("headline")))))
+def lexicon_scores(panel: DataFrame, lexicon: Mapping[str, float] = POLARITY) -> DataFrame:
+    """Stock-day means of the headlines' polarity by the lexicon; nothing is fitted."""
+    return stock_day_scores(panel.withColumn("p", polarity(tokens(F.col("headline")), lexicon)))
 
 
 def walk_forward(panel: DataFrame, calendar: DataFrame, splits: Sequence[Split], featurize: Featurize, grid: Sequence[dict], protocol: Protocol = Protocol(), shuffle_seed: int | None = None) -> WalkForward:

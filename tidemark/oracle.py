@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.functions.text import POLARITY
+from tidemark.functions.text import DEGREES, NEGATIONS, POLARITY, TURNED
+from tidemark.queries import EVENT_POLARITY
 
 PRICES = "px AS (SELECT user_id::VARCHAR AS ticker, ts::DATE AS date, avg(value) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL)"
 CAL = "cal AS (SELECT date, (row_number() OVER (ORDER BY date) - 1)::BIGINT AS idx, lag(date) OVER (ORDER BY date) AS prev_session, lead(date) OVER (ORDER BY date) AS next_session FROM (SELECT DISTINCT date FROM px))"
@@ -100,7 +101,18 @@ STAMPS = """st AS (SELECT CASE WHEN event_id % 5 = 0 THEN strftime(ts - INTERVAL
   CASE WHEN event_id % 7 = 0 THEN '+00:00' WHEN event_id % 11 = 0 THEN '' ELSE '-05:00' END AS off FROM events)"""
 TERMS = r"tk AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tc AS (SELECT row_id, term, count(*) AS tf FROM tk GROUP BY ALL)"
 VOCAB = "vc AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY term HAVING count(*) >= 5 ORDER BY total DESC, term LIMIT 50000)"
-LEXICON = "lx(term, v) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in sorted(POLARITY.items())) + ")"
+
+
+def _values(name: str, values) -> str:
+    return f"{name}(term, v) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in sorted(values.items())) + ")"
+
+
+_NOT = ", ".join(f"'{w}'" for w in NEGATIONS)
+LEXICON = rf"""{_values("lx", POLARITY)}, {_values("dg", DEGREES)},
+ws AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM documents),
+ps AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS i FROM ws),
+nb AS (SELECT *, lag(term, 1) OVER k AS b1, lag(term, 2) OVER k AS b2, lag(term, 3) OVER k AS b3 FROM ps WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+lv AS (SELECT doc_id, (lx.v + sign(lx.v) * coalesce(dg.v, 0)) * CASE WHEN coalesce(b1 IN ({_NOT}), false) OR coalesce(b2 IN ({_NOT}), false) OR coalesce(b3 IN ({_NOT}), false) THEN {TURNED} ELSE 1 END AS v FROM nb JOIN lx USING (term) LEFT JOIN dg ON dg.term = b1)"""
 SUBSET = "SELECT ticker, signal_date, floor(score / 50)::DOUBLE AS score, ret_next_excess, liquidity_tercile FROM sc"
 
 
@@ -168,8 +180,8 @@ SELECT block, coalesce(sum(t), 0)::BIGINT AS distinct_texts, coalesce(sum(r), 0)
         "tfidf_vocab": f"WITH {TERMS}, {VOCAB} SELECT term, df, total, round(idf, 8) AS idf FROM vc",
         "tfidf_weights": f"WITH {TERMS}, {VOCAB}, r AS (SELECT row_id, term, tf, (1 + ln(tf)) * idf AS w FROM tc JOIN vc USING (term)) SELECT row_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 7) AS weight FROM r",
         "tfidf_bigrams": r"WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM documents), g AS (SELECT doc_id, unnest(w) AS term FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 20 ORDER BY total DESC, term LIMIT 50000",
-        "lexicon_scores": f"WITH {TERMS}, {LEXICON}, s AS (SELECT doc_id AS row_id, coalesce((SELECT sum(tf * v) FROM tc JOIN lx USING (term) WHERE tc.row_id = doc_id), 0)::DOUBLE AS t FROM documents) SELECT row_id, round(t / sqrt(t * t + 15), 8) AS score FROM s",
-        "event_lexicon_scores": f"WITH {LEXICON}, s AS (SELECT user_id::VARCHAR AS ticker, ts::DATE AS signal_date, coalesce(v, 0)::DOUBLE AS t FROM events LEFT JOIN lx ON event_type = term) SELECT ticker, signal_date, round(avg(t / sqrt(t * t + 15)), 8) AS score, 0.0::DOUBLE AS ret_next_excess, 1 AS liquidity_tercile FROM s GROUP BY ALL",
+        "lexicon_scores": f"WITH {LEXICON}, s AS (SELECT doc_id, coalesce(sum(v), 0)::DOUBLE AS t FROM documents LEFT JOIN lv USING (doc_id) GROUP BY doc_id) SELECT doc_id AS row_id, round(t / sqrt(t * t + 15), 8) AS score FROM s",
+        "event_lexicon_scores": f"WITH {_values('lx', EVENT_POLARITY)}, s AS (SELECT user_id::VARCHAR AS ticker, ts::DATE AS signal_date, coalesce(v, 0)::DOUBLE AS t FROM events LEFT JOIN lx ON event_type = term) SELECT ticker, signal_date, round(avg(t / sqrt(t * t + 15)), 8) AS score, 0.0::DOUBLE AS ret_next_excess, 1 AS liquidity_tercile FROM s GROUP BY ALL",
         "standardise_embeddings": "SELECT place, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END, 6) AS scale FROM (SELECT (unnest(range(64)))::INT AS place, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY place",
         "mean_pool_embeddings": "SELECT label, place, round(sum(x * (vec_id % 2)) / greatest(sum(vec_id % 2), 1), 7) AS value FROM (SELECT label, vec_id, unnest(range(64))::INT AS place, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, place",
     }

@@ -51,6 +51,11 @@ class Research:
     def write(self, df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").parquet(str(self.processed / f"{name}.parquet"))
 
+    def _numbered(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows with their numbers; they are written first, as numbering reads them twice."""
+        self.write(rows, f"{name}_rows")
+        return align.numbered(self.read(f"{name}_rows"))
+
     def _grid(self, name: str) -> tuple[dict, ...]:
         return self.protocol.dense_grid if name == "chrono" else self.protocol.tfidf_grid
 
@@ -74,6 +79,7 @@ class Research:
 
     # 2
     def prices(self, archive: str) -> None:
+        """The archive is unpacked into the root, which the driver and the executors share."""
         folder = self.raw / "prices"
         print("extracted", price_source.extract_prices(archive, folder), "price files")
         daily = price_source.load_prices(self.spark, str(folder))
@@ -85,8 +91,8 @@ class Research:
     def panel(self, file: str) -> None:
         headlines = news.load_news(news.read_csv(self.spark, file), self.protocol)
         inputs = headlines, self.read("returns"), self.read("calendar"), self.protocol
-        self.write(align.build_panel(*inputs), "panel")
-        self.write(align.build_panel_same_day(*inputs), "panel_same_day")
+        self.write(self._numbered(align.aligned(*inputs), "panel"), "panel")
+        self.write(self._numbered(align.aligned_same_day(*inputs), "panel_same_day"), "panel_same_day")
         self.read("panel").groupBy(F.year("signal_date").alias("year")).count().orderBy("year").show()
 
     # 4
@@ -140,7 +146,8 @@ class Research:
     def holdout_panel(self) -> dict:
         self.gates.require_open()
         p = self.protocol
-        panel = align.build_panel(news.load_feed(self.spark, str(self.raw / "feed"), p), self.read("returns"), self.read("calendar"), p)
+        rows = align.aligned(news.load_feed(self.spark, str(self.raw / "feed"), p), self.read("returns"), self.read("calendar"), p)
+        panel = self._numbered(rows, "panel_holdout")
         self.write(panel.where(F.col("signal_date").between(F.lit(p.holdout_start), F.lit(p.holdout_end))), "panel_holdout")
         held = self.read("panel_holdout")
         days = qualifying_days(held, p.min_names).first()[0]

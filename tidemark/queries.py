@@ -23,6 +23,8 @@ from tidemark.sources import news as news_source
 EV = replace(Protocol(), calendar_min_tickers=1, min_price=0.0, volume_window=5, universe_size=80)
 EV_EARLY = replace(EV, early_closes=(date(2024, 1, 10),))
 NAMES = 20
+#: A lexicon of event types, which are the headlines of the events.
+EVENT_POLARITY = {"error": -1.3, "click": 0.2, "purchase": 1.1, "view": 0.1, "signup": 1.5, "login": 0.3, "logout": -0.2}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -315,7 +317,7 @@ def lexicon_scores(spark, d):
 
 def event_lexicon_scores(spark, d):
     panel = ev_news(spark, d).withColumns({"signal_date": F.col("ts").cast("date"), "ret_next_excess": F.lit(0.0), "liquidity_tercile": F.lit(1)})
-    return rounded(model.lexicon_scores(panel), score=8)
+    return rounded(model.lexicon_scores(panel, EVENT_POLARITY), score=8)
 
 
 def standardise_embeddings(spark, d):
