@@ -9,11 +9,13 @@ from zoneinfo import ZoneInfo
 import numpy as np
 import pytest
 
-from tidemark.cli import parser
+from tidemark.cli import main, parser
 from tidemark.plans.gates import Gates, Refused, embed_projection, years_needed
-from tidemark.plans.report import event_study_svg
+from tidemark.plans.page import Results, build_page
+from tidemark.plans.report import build_report, event_study_svg
 from tidemark.plans.research import Research
 from tidemark.protocol import Protocol
+from tidemark.sources.datasets import headline_file
 from tidemark.sources.results import read_json, write_json
 
 P = replace(
@@ -133,3 +135,34 @@ def test_svg_and_json(tmp_path):
     assert event_study_svg([{"q": 1, "offset": k, "cum_r": k / 100} for k in (-1, 0, 1)]).count("polyline") == 1
     write_json(tmp_path / "x.json", {"a": float("nan"), "t": datetime(2020, 1, 1)})
     assert json.loads((tmp_path / "x.json").read_text())["a"] is None and read_json(tmp_path / "no.json") == {}
+
+
+def test_page(tmp_path):
+    """Panels name the missing step; synthetic results fill them all and are marked; a broken file is a missing one."""
+    main(["--root", str(tmp_path), "page"])
+    page = tmp_path / "results/index.html"
+    text = page.read_text()
+    assert text.count("Not run yet") == 6 and "run --model chrono" in text and "Synthetic" not in text
+    main(["--root", str(tmp_path), "sample-results"])
+    main(["--root", str(tmp_path), "page"])
+    text = page.read_text()
+    assert "Not run yet" not in text and "Synthetic numbers" in text and text.count("<svg") == 1 and text.count("<section>") == 7
+    files = {f.name: f.read_text() for f in (tmp_path / "results").glob("*.json")}
+    assert len(files) == 10 and all("synthetic, not a measurement" in t for t in files.values())
+    main(["--root", str(tmp_path), "sample-results"])
+    assert files == {f.name: f.read_text() for f in (tmp_path / "results").glob("*.json")}
+    build_report(tmp_path / "results", tmp_path / "REPORT.md")
+    assert "| chrono |" in (tmp_path / "REPORT.md").read_text()
+    (tmp_path / "results/summary.json").write_text('{"bar": {')
+    write_json(tmp_path / "results/gates.json", {"G4": {"pass": False}})
+    write_json(tmp_path / "results/deviations.json", {"deviations": ["<b>"]})
+    build_page(tmp_path / "results", page)
+    assert Results(tmp_path / "results").primary == "tfidf" and "&lt;b&gt;" in page.read_text() and page.read_text().count("Not run yet") == 3
+    with pytest.raises(FileExistsError):
+        main(["--root", str(tmp_path), "sample-results"])
+
+
+def test_headline_file():
+    assert headline_file("hdfs://x/n.csv") == "hdfs://x/n.csv"
+    assert headline_file(None, P, lambda name: f"/cache/{name.split('/')[-1]}") == f"/cache/{P.dataset.split('/')[-1]}/{P.dataset_file}"
+    assert parser().parse_args(["panel"]).file is None

@@ -66,7 +66,9 @@ class Protocol:
     benchmark_headlines: int = 10_000
     max_ram_fraction: float = 0.6
     fit_overhead_gb: float = 1.0
-    # sources
+    # sources; the dataset's id and file name are fixed values
+    dataset: str = "miguelaenlle/massive-stock-news-analysis-db-for-nlpbacktests"
+    dataset_file: str = "analyst_ratings_processed.csv"
     headline_col: str = "title"
     stamp_col: str = "date"
     ticker_col: str = "stock"
