@@ -174,9 +174,9 @@ class Research:
         self.gates.primary()
         for name, source in (("vader", "panel"), ("old_bug_vader", "panel_same_day")):
             panel = self.read(source).where(F.year("signal_date").isin(*self.protocol.test_years))
-            scores = model.lexicon_scores(panel).cache()
+            self.write(model.lexicon_scores(panel), f"{name}_scores")
+            scores = self.read(f"{name}_scores")  # so that the plans below don't repeat the lexicon
             overall = _row(evaluate.summarise(scores, self.protocol).select(*SUMMARY)) | _row(evaluate.hit_rate(scores))
-            scores.unpersist()
             write_json(self.results / f"{name}.json", {"overall": overall})
 
     # 10
