@@ -6,7 +6,7 @@ import importlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, licenses, media_shards, mixing, neardup, passages, pii, quality, sharding, token_orc
+from tidemark.llm import _shared, decontaminate, licenses, media_shards, mixing, neardup, passages, pii, quality, sharding, token_orc
 
 LONG = "word " * 30_000
 ROWS = [
@@ -151,3 +151,45 @@ def test_stages_keep_columns_and_rows(spark, tmp_path):
             assert out.count() == len(rows)
     got = pipeline.run(spark, str(tmp_path)).collect()
     assert got and 3 not in {r.doc_id for r in got}
+
+
+@pytest.mark.parametrize("files", [True, False])
+def test_shards_keep_the_order_of_the_mixture(spark, tmp_path, monkeypatch, files):
+    """The last two stages as the pipeline runs them, over several files, and unwritten; a hot source,
+    a source of one row, a null one and a repeated row."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    monkeypatch.setattr(pipeline, "STAGES", pipeline.STAGES[-2:])
+    rows = [(k, f"{k} " * 500, "ab"[k % 5 == 0]) for k in range(600)] + [(600, "one", "c"), (601, "null", None), (7, "7 " * 500, "a")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the mixture is one file
+        want = [r.doc_id for r in mixing.mixture(df).collect()]
+        if files:
+            got = pipeline.run(spark, str(tmp_path)).collect()
+        else:
+            got = pipeline.sharded_documents(spark, mixing.mixture(spark.read.parquet(f"{tmp_path}/documents.parquet")), "").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    shard_of = {r.doc_id: r.shard for r in got}
+    assert len(got) == len(want) == 603 and set(shard_of.values()) == set(range(8))
+    for s in range(8):
+        own = sorted((r.slot, r.doc_id) for r in got if r.shard == s)
+        assert own == list(enumerate(k for k in want if shard_of[k] == s))
+
+
+def test_order_of_files_and_of_stretches_in_them(spark, tmp_path, monkeypatch):
+    """Parts by number, beyond five digits too, files of a part by name, other files first."""
+    names = ["a", "part-00002-x-c000", "part-00010-x-c000", "part-00010-x-c001", "part-99999-x-c000", "part-100000-x-c000", "part-100001-x-c000"]
+    for k, name in enumerate(names):
+        spark.range(100 * k, 100 * k + 100, numPartitions=1).selectExpr("id AS doc_id", "'t' AS text").write.parquet(f"{tmp_path}/{name}")
+        (part,) = (tmp_path / name).glob("part-*")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        part.rename(tmp_path / "all" / f"{name}.parquet")
+    monkeypatch.setattr(_shared, "CHUNK", 16)
+    got = sharding.shard_documents(spark.read.parquet(f"{tmp_path}/all"), keep_order=True).collect()
+    assert len(got) == 700
+    for s in range(8):
+        own = sorted((r.slot, r.doc_id) for r in got if r.shard == s)
+        assert own == list(enumerate(sorted(r.doc_id for r in got if r.shard == s)))

@@ -59,6 +59,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a file that are numbered together by plans that go by the files' order.
+CHUNK = 65_536
+
+
+def in_order(df: DataFrame, chunk: str, row: str) -> DataFrame:
+    """``df`` with its rows' order as two columns: ``chunk``, the file (by the number of the part,
+    then the path) and the stretch of CHUNK rows in it, and ``row`` within the file. So a sorted
+    frame that was written has its order again when it is read. A frame that isn't just a table of
+    Parquet files is written first."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().toString() != "parquet":
+        df = written(df, "ordered")
+    file = df.metadataColumn("_metadata")
+    path, index = file.getField("file_path"), file.getField("row_index")
+    part = F.coalesce(F.regexp_extract(path, r"part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(-1))
+    # beyond five digits a name's length comes first; the rest of the name is the same in a job's parts
+    return df.withColumns({chunk: F.struct(part.alias("part"), F.length(path).alias("length"), path.alias("path"), F.floor(index / F.lit(CHUNK)).alias("at")), row: index})
+
+
 def copy_of(text_col: str) -> Column:
     """Tells rows apart that repeat a document id with another text; null and empty are equal."""
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import fresh, task_count
+from tidemark.llm._shared import fresh, in_order, task_count
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ def place(key: Column, node: Node) -> Column:
 ADDED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
-def shard_documents(df: DataFrame, tree: Node | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(df: DataFrame, tree: Node | None = None, id_col: str = "doc_id", text_col: str = "text", keep_order: bool = False) -> DataFrame:
     """``df`` with ``size`` (UTF-8 bytes of the text plus 1; null: none), ``text_crc32``, ``law``
     ('key'), ``shard``, ``slot`` (0, 1, ... within a shard, by a hash, then id, CRC and size)
     and ``grown_shard`` (with one more shard). Columns of these names are replaced, all others
@@ -84,6 +84,10 @@ def shard_documents(df: DataFrame, tree: Node | None = None, id_col: str = "doc_
     The hash's first bits deal a shard's rows into buckets, numbered each by itself; their number
     goes by the shuffle partitions and doesn't change the slots. The buckets' offsets (shards x
     buckets rows, whatever the input) are broadcast.
+
+    With ``keep_order`` a shard's slots go by the rows' order in ``df`` instead of the hash, so a
+    shard of a mixture is one too. Buckets are stretches of files then (``in_order``); as more of
+    them come with more rows, the join with their offsets is left to the planner.
     """
     tree = tree or balanced_tree()
     bucket, rank, rows, offset, at = fresh(df, "bucket0", "rank0", "rows0", "offset0", "at0")
@@ -91,22 +95,26 @@ def shard_documents(df: DataFrame, tree: Node | None = None, id_col: str = "doc_
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.crc32(text).cast("string")))
     leaves = _leaves(tree)
     bits = max(3, (task_count(df.sparkSession) - 1).bit_length())
-    keyed = df.withColumns(
+    # the text has its part: copies of an id are dealt, unless their texts are equal too
+    ranked = {} if keep_order else {rank: F.shiftrightunsigned(F.xxhash64(key, F.crc32(text), F.lit("slot")), 1)}
+    keyed = (in_order(df, bucket, rank) if keep_order else df).withColumns(
         {
             "size": F.octet_length(text).cast("long") + F.lit(1),
             "text_crc32": F.crc32(text),
             "law": F.lit("key"),
             "shard": place(key, tree).cast("int"),
             "grown_shard": place(key, grown_tree(tree, max(leaves) + 1)).cast("int"),
-            # the text has its part: copies of an id are dealt, unless their texts are equal too
-            rank: F.shiftrightunsigned(F.xxhash64(key, F.crc32(text), F.lit("slot")), 1),
         }
-    ).withColumn(bucket, F.shiftrightunsigned(rank, 63 - bits).cast("int"))
+        | ranked
+    )
+    if not keep_order:
+        keyed = keyed.withColumn(bucket, F.shiftrightunsigned(rank, 63 - bits).cast("int"))
     before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(rows)).select("shard", bucket, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(offset))
     within = Window.partitionBy("shard", bucket).orderBy(rank, id_col, "text_crc32", "size")
+    offsets = offsets if keep_order else F.broadcast(offsets)
     numbered = keyed.withColumn(at, F.row_number().over(within))
-    return numbered.join(F.broadcast(offsets), ["shard", bucket]).withColumn("slot", (F.col(offset) + F.col(at) - 1).cast("long")).select(*(c for c in df.columns if c not in ADDED), *ADDED)
+    return numbered.join(offsets, ["shard", bucket]).withColumn("slot", (F.col(offset) + F.col(at) - 1).cast("long")).select(*(c for c in df.columns if c not in ADDED), *ADDED)
 
 
 def _leaves(node: Node) -> list[int]:
