@@ -4,6 +4,7 @@ from datetime import date, timedelta
 
 import pytest
 
+from tidemark import queries
 from tidemark.operators import prices
 from tidemark.protocol import Protocol
 from tidemark.sources.prices import extract_prices, load_prices
@@ -58,6 +59,13 @@ def test_bad_ticks(spark):
     assert [k for k in range(25) if out[k].ret_next is None] == [4, 5, 7, 9, 10, 11, 12, 13, 14, 15, 18, 19, 24]
 
 
+def test_rounding_is_that_of_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    values = [1.005, -1.005, 2.675, 0.285, 8.575, 0.0, 1e300, 1e308, float("inf"), float("-inf"), None]
+    got = queries.rounded(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double"), x=2).orderBy("k").collect()
+    assert [r.x for r in got] == [duckdb.execute("SELECT round(?::DOUBLE, 2)", [v]).fetchone()[0] for v in values]
+
+
 def test_two_layouts(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
         z.writestr("full/AA.csv", "date,volume,open,high,low,close,adj close\n2020-01-02,100,1,1,1,20.5,20.1\n2020-01-03,,1,1,1,20,20\n")

@@ -60,7 +60,14 @@ def li_scores(spark, d):
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
-    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+    """Doubles rounded as DuckDB does, by way of the multiple that is kept: Spark's own rounding
+    goes by a value's decimal digits, so it parts from it next to a tie."""
+
+    def one(c: str, n: int):
+        scaled = F.col(c) * F.lit(10.0**n)
+        return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / F.lit(10.0**n)).otherwise(F.col(c))
+
+    return df.withColumns({c: one(c, n) if df.schema[c].dataType.typeName() == "double" else F.round(c, n) for c, n in digits.items()})
 
 
 def trading_calendar(spark, d):
