@@ -689,3 +689,14 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id: r.shard for r in got} == {r.doc_id: r.shard for r in sharding.shard_documents(docs).collect() if r.doc_id in want}
     for s in range(8):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_decontamination_joins_fingerprints_alone(spark):
+    """No shingles in the index or in what is joined with it, whose rows are many; items of one id
+    with the same words in another order, so with one fingerprint, are told apart."""
+    one, two = "a1 b2 c3 d4 e5 f6 g7", "g7 f6 e5 d4 c3 b2 a1"
+    items = spark.createDataFrame([(1, one), (1, two), (2, two), (None, one)], "item_id long, text string")
+    assert not [f.name for f in decontaminate._index(decontaminate.items_of(items)).schema if f.dataType.typeName() == "array"]
+    docs = spark.createDataFrame([(7, f"x y {two} z"), (7, f"x y {two} z"), (8, one)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.similarity, r.start) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(7, 1, 1.0, 2), (7, 2, 1.0, 2), (8, 1, 1.0, 0), (8, None, 1.0, 0)}

@@ -6,8 +6,8 @@ with shingles of items of their length are fingerprinted. Fingerprints have 64 b
 windows' words by their counts, cut into ``BLOCKS`` blocks. Two within ``RADIUS`` bits differ by
 ``PROBES`` bits or fewer in some block, and each item is indexed under all such values of each of its
 blocks: a join by length, block and value finds every pair within the radius, whichever item
-it was that a shingle pointed to. Candidates are verified by the exact similarity of their
-shingle multisets, each shingle weighted by its count.
+it was that a shingle pointed to. Candidates are written, and verified by the exact similarity of
+their shingle multisets, each shingle weighted by its count.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import bind, copy_of, fresh, spread_join
+from tidemark.llm._shared import bind, copy_of, fresh, spread_join, written
 
 SHINGLE = 5
 BLOCKS, PROBES = 6, 2
@@ -100,7 +100,18 @@ def _index(items: DataFrame) -> DataFrame:
         own = _block(F.col("print"), k)
         return F.transform(F.array(*map(F.lit, _masks(k))), lambda m: F.struct(F.lit(k).alias("block"), own.bitwiseXOR(m).alias("value")))
 
-    return items.select("item_id", "length", F.col("shingles").alias("other"), F.col("print").alias("item_print"), F.inline(F.concat(*map(probes, range(BLOCKS)))))
+    return items.select("item_id", "length", F.col("print").alias("item_print"), F.inline(F.concat(*map(probes, range(BLOCKS)))))
+
+
+def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, copy, length, at, start, window: the words of the windows whose (length, at) a document
+    has in ``wanted``. Only the texts of these documents are cut into words; repeated rows count once."""
+    wanted = wanted.withColumnsRenamed({"id": "_id", "copy": "_copy"})
+    held = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).dropDuplicates(["id", "copy"])
+    held = held.select("id", "copy", words(F.col("text")).alias("w"), "wanted").select("id", "copy", "w", F.inline("wanted"))
+    start = F.greatest(F.col("at"), F.lit(0))
+    end = F.least(F.col("at") + F.col("length"), F.size("w"))
+    return held.select("id", "copy", "length", "at", start.alias("start"), F.slice("w", start + 1, end - start).alias("window"))
 
 
 def _seeds(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -144,20 +155,21 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = 80,
     held = held.groupBy("id", "copy", "length").agg(F.sort_array(F.collect_set("place")).alias("places"))
     held = held.select("id", "copy", "length", F.explode(_starts(percent)).alias("at"))
     held = held.groupBy("id", "copy").agg(F.collect_list(F.struct("length", "at")).alias("wanted"))
-    held = held.withColumnsRenamed({"id": "_id", "copy": "_copy"})
-    # only texts with such windows are cut into words again
-    windows = texts.join(held, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).dropDuplicates(["id", "copy"])
-    windows = windows.select("id", "copy", words(F.col("text")).alias("w"), "wanted").select("id", "copy", "w", F.inline("wanted"))
-    start = F.greatest(F.col("at"), F.lit(0))
-    end = F.least(F.col("at") + F.col("length"), F.size("w"))
-    windows = windows.select("id", "copy", "length", "at", start.alias("start"), F.slice("w", start + 1, end - start).alias("window"))
-    prints = windows.select("id", "copy", "length", "at", "start", _of_length(F.col("window")).alias("own"), _print(F.col("window")).alias("print"))
+    prints = _windows(texts, held).select("id", "copy", "length", "at", _print(F.col("window")).alias("print"))
     blocks = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("print"), k).alias("value")) for k in range(BLOCKS)))
-    ours = prints.select("id", "copy", "length", "at", "start", "own", "print", F.inline(blocks))
+    ours = prints.select("id", "copy", "length", "at", "print", F.inline(blocks))
     pairs = spread_join(ours, _index(items), ["length", "block", "value"], "id")
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
-    # each pair once, under the first block that brings it
-    close = pairs.where((F.bit_count(apart) <= RADIUS) & (_first_block(apart) == F.col("block")))
+    # each pair once, under the first block that brings it; fingerprints alone are joined, as the
+    # shingles of all windows in each of their blocks would fill the memory of the tasks
+    close = pairs.where((F.bit_count(apart) <= RADIUS) & (_first_block(apart) == F.col("block"))).select("id", "copy", "length", "at", "item_id", "item_print")
+    close = written(close, "near-windows")
+    near = _windows(texts, close.groupBy("id", "copy").agg(F.collect_set(F.struct("length", "at")).alias("wanted")))
+    near = near.select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), F.col("length").alias("_length"), F.col("at").alias("_at"), "start", _of_length(F.col("window")).alias("own"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")) & (F.col("length") == F.col("_length")) & (F.col("at") == F.col("_at"))
+    known = items.select(F.col("item_id").alias("_item"), F.col("length").alias("_size"), F.col("print").alias("_print"), F.col("shingles").alias("other"))
+    its = F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("length") == F.col("_size")) & (F.col("item_print") == F.col("_print"))
+    close = close.join(near, same).join(known, its)
     scored = close.withColumn("common", _common(F.col("own"), F.col("other")))
     scored = scored.withColumn("total", F.size("own") + F.size("other") - F.col("common"))
     good = scored.where(F.col("common") * 100 >= F.col("total") * percent).withColumn("similarity", F.col("common") / F.col("total"))
